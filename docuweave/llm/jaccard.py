@@ -4,8 +4,8 @@ A document's set has its distinct shingles of ``N`` words as 64-bit hashes.  Doc
 equal sets form a class, and classes are what is joined, so copies cost nothing.  Two steps find
 the links that decide the components:
 
-1. Min-hash keys bring likely partners together; each class of a key is compared with the key's
-   least class only.  The links, checked exactly, give preliminary components.  This is linear in
+1. Min-hash keys bring likely partners together; of the least classes of its keys, each class is
+   compared with that of most keys.  The links, checked exactly, give preliminary components.  This is linear in
    the input whatever the size of a group of near copies, but may miss links.
 2. An exact pass finds what is missing.  By the prefix principle two linked sets share one of
    the first n - ceil(0.75 n) + 1 shingles of any global order; here rare ones come first.
@@ -14,7 +14,8 @@ the links that decide the components:
    exceed), with the classes of that band and of the one below; tiles of more than ``TILE``
    classes are cut into blocks that meet block by block.  In a tile, bitmaps of ``BITS`` hashed
    shingles bound the overlap from above by bit counts, and pairs that pass, and that are not in
-   one component yet, go to the exact intersection of the sorted arrays.
+   one component yet, go on to a wider bitmap (``wide_bitmap``) and then to the exact intersection
+   of the sorted arrays.
 
 The order of shingles follows their frequency in a sixteenth of the texts; any order gives right
 results.  Only the ``HEAVY`` most frequent shingles are broadcast (8 bytes each).
@@ -45,6 +46,7 @@ N = 5
 PERCENT = 75
 BANDS, ROWS = 10, 3
 BITS = 1024
+WIDE = 1 << 17
 TILE = 1024
 HEAVY = 1 << 18
 HEAVY_SHARE, HEAVY_COUNT = 16, 4
@@ -108,6 +110,22 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """A bitmap of at least four bits for each shingle, of a power of two up to ``WIDE``: halves fold onto each other."""
+    m = min(WIDE, max(BITS, 1 << (4 * len(s) - 1).bit_length()))
+    bits = np.zeros(m, np.uint8)
+    bits[((s * _MIX[0]) & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A wide bitmap as uint64 words, folded to ``size`` bytes."""
+    x = np.frombuffer(bits, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
 def prefix(s: np.ndarray, heavy: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, int]:
     """The first shingles in the global order, and how many of them count for the smaller of two sets."""
     n = len(s)
@@ -132,7 +150,7 @@ def bound_passes(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -
 
 
 def _sketches(docs: DataFrame, heavy: np.ndarray, level: np.ndarray) -> DataFrame:
-    """One row for each document: rkey, doc_id, n, cls, keys, bits, prefix, index."""
+    """One row for each document: rkey, doc_id, n, cls, keys, bits, wide, prefix, index."""
     both = docs.sparkSession.sparkContext.broadcast((heavy, level))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,16 +162,16 @@ def _sketches(docs: DataFrame, heavy: np.ndarray, level: np.ndarray) -> DataFram
                 s = shingles(t.as_py(), known)
                 if len(s):
                     first, index = prefix(s, h, lv)
-                    rows.append((len(s), class_of(s), min_keys(s), bitmap(s), first.view(np.int64), index))
+                    rows.append((len(s), class_of(s), min_keys(s), bitmap(s), wide_bitmap(s), first.view(np.int64), index))
                 else:
-                    rows.append((0, None, None, None, None, 0))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+                    rows.append((0, None, None, None, None, None, 0))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rkey"), batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.int32())],
-                names=["rkey", "doc_id", "n", "cls", "keys", "bits", "prefix", "index"],
+                [batch.column("rkey"), batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.int32())],
+                names=["rkey", "doc_id", "n", "cls", "keys", "bits", "wide", "prefix", "index"],
             )
 
-    return docs.mapInArrow(run, "rkey long, doc_id long, n long, cls long, keys array<long>, bits binary, prefix array<long>, index int")
+    return docs.mapInArrow(run, "rkey long, doc_id long, n long, cls long, keys array<long>, bits binary, wide binary, prefix array<long>, index int")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +219,11 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf("boolean")
 def _may_link(na: pd.Series, a: pd.Series, nb: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
-    return pd.Series(bound_passes(na.to_numpy(), x, nb.to_numpy(), y))
+    out = []
+    for n, x, m, y in zip(na, a, nb, b, strict=True):
+        size = min(len(x), len(y))
+        out.append(bool(bound_passes(np.int64(n), folded(x, size), np.int64(m), folded(y, size))))
+    return pd.Series(out, dtype=bool)
 
 
 def _sized(na: Column, nb: Column) -> Column:
@@ -222,16 +241,17 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _likely(heads: DataFrame) -> DataFrame:
-    """Step 1: (a, b), each class with the least class of each of its keys, if sizes and bitmaps allow a link."""
+    """Step 1: (a, b), each class b with one least class of a key: that of most of its keys, if a link is possible."""
     keyed = heads.select("cls", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    pairs = keyed.join(least, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    return _pass_bound(pairs, heads)
+    met = keyed.join(least, "key").where("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
+    return _pass_bound(best, heads)
 
 
 def _pass_bound(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    x = heads.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    y = heads.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    x = heads.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("wide").alias("ba"))
+    y = heads.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("bb"))
     near = pairs.join(x, "a").join(y, "b").where(_sized(F.col("na"), F.col("nb")))
     return near.where(_may_link("na", "ba", "nb", "bb")).select("a", "b")
 
@@ -350,7 +370,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = flat.agg(F.coalesce(F.sum(F.size(F.coalesce("prefix", F.array().cast("array<long>")))), F.lit(0)).alias("t")).first()["t"]
     undecided = written(_undecided(placed, max(12, int(total // 1_000_000))))
     partitions = max(12, undecided.count() // 100_000)
-    extra = written(_compare(_tiles(undecided), heads, partitions))
+    extra = written(_pass_bound(_compare(_tiles(undecided), heads, partitions), heads))
     links = near
     if not extra.isEmpty():
         links = near.unionByName(_verified(extra, heads, docs))
