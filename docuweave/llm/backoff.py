@@ -7,7 +7,7 @@ ALPHA * c(v) / N, else ALPHA / (N + 1); the first word has no context and no ALP
 Two forms give the same scores:
 
 ``backoff_scores``, for pairs of words.  The table of word counts is summed by hash, and is
-broadcast if it has at most ``MAX_WORDS`` words (16 bytes each).  Each document's pairs, counted
+broadcast, without words that occur once, if it has at most ``MAX_WORDS`` words (16 bytes each).  Each document's pairs, counted
 inside the document, go to buckets by the pair's hash; a bucket holds all rows of its pairs, so
 counting a pair and joining the count to the pair's documents is one sort there, and a very
 frequent pair has one row for each document that has it.  What a bucket finds for a document
@@ -107,18 +107,21 @@ def backoff_scores(docs: DataFrame, max_words: int = MAX_WORDS, bucket_rows: int
     """doc_id, n_words, score and n_pairs (whose context other documents share) of each (doc_id, text)."""
     spark = docs.sparkSession
     counts = written(word_counts(docs))
-    if not small(counts, max_words):
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # A word that the corpus has once is in one document: no other has it, nor any pair with it.
+    shared = counts.where("n > 1")
+    if not small(shared, max_words):
         return backoff_scores_joined(docs, 2)
-    table = counts.toPandas()
-    order = np.argsort(table["word"].to_numpy(np.int64).view(np.uint64))
-    hashes = table["word"].to_numpy(np.int64).view(np.uint64)[order]
-    number = table["n"].to_numpy(np.int64)[order]
-    total = int(number.sum())
+    table = shared.toArrow()
+    hashes = table.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, number = hashes[order], table.column("n").to_numpy()[order]
+    del table, order
     model = spark.sparkContext.broadcast((hashes, number))
     buckets = max(64, math.ceil(total / bucket_rows))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (vocabulary, _) = _Hash(), model.value
+        known, (vocabulary, number) = _Hash(), model.value
         held: list[tuple] = []
         docs_held: list[tuple] = []
         rows = 0
@@ -157,15 +160,21 @@ def backoff_scores(docs: DataFrame, max_words: int = MAX_WORDS, bucket_rows: int
                 base = 0.0
                 if w:
                     h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-                    ids = np.searchsorted(vocabulary, h).astype(np.int64)
-                    distinct, inverse, own = np.unique(ids, return_inverse=True, return_counts=True)
-                    others = int(model.value[1][ids[0]] - own[inverse[0]])
+                    distinct, inverse, own = np.unique(h, return_inverse=True, return_counts=True)
+                    ids, others = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+                    if len(vocabulary):
+                        ids = np.minimum(np.searchsorted(vocabulary, distinct), len(vocabulary) - 1).astype(np.int64)
+                        others = np.where(vocabulary[ids] == distinct, number[ids] - own, 0)
                     rest = total - len(w)
-                    base = math.log(others / rest) if others > 0 else -math.log(rest + 1)
-                    if len(w) > 1:
-                        pair = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:].astype(np.uint64)
+                    single = np.where(others > 0, np.log(np.maximum(others, 1)) - math.log(max(rest, 1)), -math.log(rest + 1))
+                    u, v = inverse[:-1], inverse[1:]
+                    alone = (others[u] == 0) | (others[v] == 0)  # no other document can have the pair
+                    base = float(single[inverse[0]] + (single[v[alone]] + math.log(ALPHA)).sum())
+                    u, v = u[~alone], v[~alone]
+                    if len(u):
+                        pair = (ids[u].astype(np.uint64) << np.uint64(32)) | ids[v].astype(np.uint64)
                         key, first, n = np.unique(pair, return_index=True, return_counts=True)
-                        held.append((key, n, own[inverse[:-1]][first], own[inverse[1:]][first], np.full(len(key), local)))
+                        held.append((key, n, own[u][first], own[v][first], np.full(len(key), local)))
                         rows += len(key)
                 docs_held.append((rowkey.as_py(), doc.as_py(), len(w), base))
                 if rows > FLUSH_ROWS or len(docs_held) > 100_000:
