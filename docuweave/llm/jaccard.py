@@ -9,13 +9,12 @@ the links that decide the components:
    the input whatever the size of a group of near copies, but may miss links.
 2. An exact pass finds what is missing.  By the prefix principle two linked sets share one of
    the first n - ceil(0.75 n) + 1 shingles of any global order; here rare ones come first.
-   Shingles that lead to a single preliminary component are done.  The others make size-banded
-   tiles: a tile is a shingle and a band of set sizes (a factor of 4/3, which a link can't
-   exceed), with the classes of that band and of the one below; tiles of more than ``TILE``
-   classes are cut into blocks that meet block by block.  In a tile, bitmaps of ``BITS`` hashed
-   shingles bound the overlap from above by bit counts, and pairs that pass, and that are not in
-   one component yet, go on to a wider bitmap (``wide_bitmap``) and then to the exact intersection
-   of the sorted arrays.
+   Shingles that lead to a single preliminary component are done.  The others form lots (those
+   with the same least class) and size-banded tiles: a tile is a lot and a band of set sizes (a
+   factor of 4/3, which a link can't exceed), with the classes of that band and of the one below;
+   tiles of more than ``TILE`` classes are cut into blocks that meet block by block.  In a tile,
+   bitmaps of hashed shingles bound the overlap from above by bit counts, and pairs that pass,
+   and that are not in one component yet, go to the exact intersection of the sorted arrays.
 
 The order of shingles follows their frequency in a sixteenth of the texts; any order gives right
 results.  Only the ``HEAVY`` most frequent shingles are broadcast (8 bytes each).
@@ -35,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import ship, small, written
 from .components import components
@@ -45,8 +45,8 @@ N = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, ROWS = 10, 3
-BITS = 1024
-WIDE = 1 << 17
+#: Least and most bits of a bitmap; between them eight bits or more for each shingle.
+BITS, WIDE = 1024, 1 << 17
 TILE = 1024
 HEAVY = 1 << 18
 HEAVY_SHARE, HEAVY_COUNT = 16, 4
@@ -102,17 +102,9 @@ def min_keys(s: np.ndarray) -> np.ndarray:
         return keys.view(np.int64)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    with np.errstate(over="ignore"):
-        at = ((s * _MIX[0]) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    bits = np.zeros(BITS, np.uint8)
-    bits[at] = 1
-    return np.packbits(bits).tobytes()
-
-
 def wide_bitmap(s: np.ndarray) -> bytes:
-    """A bitmap of at least four bits for each shingle, of a power of two up to ``WIDE``: halves fold onto each other."""
-    m = min(WIDE, max(BITS, 1 << (4 * len(s) - 1).bit_length()))
+    """A bitmap of eight bits or more for each shingle, a power of two up to ``WIDE`` in all: halves fold onto each other."""
+    m = min(WIDE, max(BITS, 1 << (8 * len(s) - 1).bit_length()))
     bits = np.zeros(m, np.uint8)
     bits[((s * _MIX[0]) & np.uint64(m - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -126,17 +118,15 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return x
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles in the global order, and how many of them count for the smaller of two sets."""
+def prefix(s: np.ndarray, heavy: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles in the global order: a linked set shares one of them."""
     n = len(s)
-    probe = n - -(-PERCENT * n // 100) + 1
-    index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
         common = np.where(heavy[at] == s, level[at], 0)
         if common.any():
             s = s[np.argsort(common, kind="stable")]
-    return s[:probe], index
+    return s[: n - -(-PERCENT * n // 100) + 1]
 
 
 def bound_passes(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,7 +140,7 @@ def bound_passes(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -
 
 
 def _sketches(docs: DataFrame, heavy: np.ndarray, level: np.ndarray) -> DataFrame:
-    """One row for each document: rkey, doc_id, n, cls, keys, bits, wide, prefix, index."""
+    """One row for each document: rkey, doc_id, n, cls, keys, wide, prefix."""
     both = docs.sparkSession.sparkContext.broadcast((heavy, level))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +151,16 @@ def _sketches(docs: DataFrame, heavy: np.ndarray, level: np.ndarray) -> DataFram
             for t in batch.column("text"):
                 s = shingles(t.as_py(), known)
                 if len(s):
-                    first, index = prefix(s, h, lv)
-                    rows.append((len(s), class_of(s), min_keys(s), bitmap(s), wide_bitmap(s), first.view(np.int64), index))
+                    rows.append((len(s), class_of(s), min_keys(s), wide_bitmap(s), prefix(s, h, lv).view(np.int64)))
                 else:
-                    rows.append((0, None, None, None, None, None, 0))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+                    rows.append((0, None, None, None, None))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rkey"), batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.int32())],
-                names=["rkey", "doc_id", "n", "cls", "keys", "bits", "wide", "prefix", "index"],
+                [batch.column("rkey"), batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))],
+                names=["rkey", "doc_id", "n", "cls", "keys", "wide", "prefix"],
             )
 
-    return docs.mapInArrow(run, "rkey long, doc_id long, n long, cls long, keys array<long>, bits binary, wide binary, prefix array<long>, index int")
+    return docs.mapInArrow(run, "rkey long, doc_id long, n long, cls long, keys array<long>, wide binary, prefix array<long>")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +196,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "cls long, shingles binary")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):
@@ -217,7 +206,7 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _may_link(na: pd.Series, a: pd.Series, nb: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for n, x, m, y in zip(na, a, nb, b, strict=True):
@@ -257,36 +246,46 @@ def _pass_bound(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _undecided(heads: DataFrame, partitions: int) -> DataFrame:
-    """(token, cls, comp, n, first) of the prefix shingles that lead to two components or more."""
-    rows = heads.select("cls", "comp", "n", "index", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", "cls", "comp", F.when(F.col("pos") < F.col("index"), F.col("n")).otherwise(-F.col("n")).alias("sn"))
+    """(lot, cls, comp, n) of the classes whose prefix shingles lead to two components or more.
+
+    Shingles whose least class is the same share a lot, since they nearly always come from the
+    same passage: its classes are compared once and not once for each shingle.
+    """
+    rows = heads.select("cls", "comp", "n", F.explode("prefix").alias("token")).select("token", "cls", "comp", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
         if not parts:
             return
-        token, cls, comp, sn = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, cls, comp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order = np.argsort(token, kind="stable")
         t, c = token[order], comp[order]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        lengths = np.diff(np.r_[starts, len(t)])
         mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-        keep = order[np.repeat(mixed, np.diff(np.r_[starts, len(t)]))]
+        keep = order[np.repeat(mixed, lengths)]
+        lot = np.repeat(np.minimum.reduceat(cls[order], starts)[mixed], lengths[mixed])
+        by = np.lexsort((cls[keep], lot))
+        lot, keep = lot[by], keep[by]
+        once = np.ones(len(keep), bool)
+        once[1:] = (lot[1:] != lot[:-1]) | (cls[keep][1:] != cls[keep][:-1])
+        lot, keep = lot[once], keep[once]
         for i in range(0, len(keep), 50_000):
             k = keep[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(token[k]), pa.array(cls[k]), pa.array(comp[k]), pa.array(np.abs(sn[k])), pa.array(sn[k] > 0)], names=["token", "cls", "comp", "n", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(lot[i : i + 50_000]), pa.array(cls[k]), pa.array(comp[k]), pa.array(n[k])], names=["lot", "cls", "comp", "n"])
 
-    return rows.repartition(partitions, "token").mapInArrow(run, "token long, cls long, comp long, n long, first boolean")
+    return rows.repartition(partitions, "token").mapInArrow(run, "lot long, cls long, comp long, n long").distinct()
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Deal the undecided rows to tiles: (token, band, i, j), with the row's own block and whether it is at home."""
+    """Deal the undecided rows to tiles: (lot, band, i, j), with the row's own block and whether it is at home."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9)).cast("int")
     dealt = rows.select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("_b"))
-    dealt = dealt.select("token", "cls", "comp", "n", "first", "_b.band", "_b.home")
-    sizes = dealt.groupBy("token", "band").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("any_home")).where("k > 1 and any_home")
-    blocks = F.ceil(F.col("k") / TILE).cast("int")
-    dealt = dealt.join(sizes.select("token", "band", blocks.alias("nb")), ["token", "band"])
+    dealt = dealt.select("lot", "cls", "comp", "n", "_b.band", "_b.home")
+    sizes = dealt.groupBy("lot", "band").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("any_home"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    sizes = sizes.where("k > 1 and any_home and c1 <> c2").select("lot", "band", F.ceil(F.col("k") / TILE).cast("int").alias("nb"))
+    dealt = dealt.join(sizes, ["lot", "band"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("nb", "other")
@@ -294,7 +293,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 def _compare(tiles: DataFrame, heads: DataFrame, partitions: int) -> DataFrame:
     """(a, b): the pairs of a tile whose sizes and bit counts allow a link and that no component joins yet."""
-    rows = tiles.join(heads.select("cls", "bits"), "cls").select("token", "band", "i", "j", "block", "home", "cls", "comp", "n", "first", "bits")
+    rows = tiles.join(heads.select("cls", "wide"), "cls").select("lot", "band", "i", "j", "block", "home", "cls", "comp", "n", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
@@ -302,12 +301,12 @@ def _compare(tiles: DataFrame, heads: DataFrame, partitions: int) -> DataFrame:
             return
         table = pa.Table.from_batches(parts)
         del parts
-        col = {c: table.column(c).to_numpy() for c in table.column_names if c != "bits"}
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        order = np.lexsort((col["j"], col["i"], col["band"], col["token"]))
+        col = {c: table.column(c).to_numpy() for c in table.column_names if c != "wide"}
+        wide = table.column("wide")
+        order = np.lexsort((col["j"], col["i"], col["band"], col["lot"]))
         change = np.zeros(len(order), bool)
         change[:1] = True
-        for c in ("token", "band", "i", "j"):
+        for c in ("lot", "band", "i", "j"):
             v = col[c][order]
             change[1:] |= v[1:] != v[:-1]
         starts = np.flatnonzero(change)
@@ -321,26 +320,29 @@ def _compare(tiles: DataFrame, heads: DataFrame, partitions: int) -> DataFrame:
         for s, e in zip(starts, np.r_[starts[1:], len(order)], strict=True):
             at = order[s:e]
             split = col["i"][at[0]] != col["j"][at[0]]
-            left = at[col["block"][at] == col["i"][at[0]]] if split else at
-            right = at[col["block"][at] == col["j"][at[0]]] if split else at
+            left = np.flatnonzero(col["block"][at] == col["i"][at[0]]) if split else np.arange(len(at))
+            right = np.flatnonzero(col["block"][at] == col["j"][at[0]]) if split else np.arange(len(at))
+            maps = [wide[int(k)].as_py() for k in at]
+            size = min(map(len, maps))
+            bits = np.stack([folded(m, size) for m in maps])
+            cls, comp, n, home = (col[c][at] for c in ("cls", "comp", "n", "home"))
             for k in range(0, len(left), 128):
                 x, y = left[k : k + 128][:, None], right[None, :]
-                n, m = col["n"][x], col["n"][y]
-                ok = (col["home"][x] | col["home"][y]) & (col["comp"][x] != col["comp"][y]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-                ok &= np.where(n < m, col["first"][x], np.where(m < n, col["first"][y], col["first"][x] | col["first"][y]))
-                p, q = np.nonzero(ok)
+                ok = (home[x] | home[y]) & (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+                p, q = np.nonzero(ok if split else ok & (x < y))
                 p, q = left[k : k + 128][p], right[q]
-                for u in range(0, len(p), 65_536):
-                    pu, qu = p[u : u + 65_536], q[u : u + 65_536]
-                    good = bound_passes(col["n"][pu], bits[pu], col["n"][qu], bits[qu])
-                    a, b = col["cls"][pu[good]], col["cls"][qu[good]]
+                step = max(256, 8_000_000 // size)
+                for u in range(0, len(p), step):
+                    pu, qu = p[u : u + step], q[u : u + step]
+                    good = bound_passes(n[pu], bits[pu], n[qu], bits[qu])
+                    a, b = cls[pu[good]], cls[qu[good]]
                     found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
                     if len(found) > 200_000:
                         yield out()
         if found:
             yield out()
 
-    return rows.repartition(partitions, "token", "band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions, "lot", "band", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -369,8 +371,8 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = heads.join(spread.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     total = flat.agg(F.coalesce(F.sum(F.size(F.coalesce("prefix", F.array().cast("array<long>")))), F.lit(0)).alias("t")).first()["t"]
     undecided = written(_undecided(placed, max(12, int(total // 1_000_000))))
-    partitions = max(12, undecided.count() // 100_000)
-    extra = written(_pass_bound(_compare(_tiles(undecided), heads, partitions), heads))
+    partitions = max(12, undecided.count() // 20_000)
+    extra = written(_compare(_tiles(undecided), heads, partitions))
     links = near
     if not extra.isEmpty():
         links = near.unionByName(_verified(extra, heads, docs))
