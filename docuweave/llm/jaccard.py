@@ -5,8 +5,8 @@ equal sets form a class, and classes are what is joined, so copies cost nothing.
 the links that decide the components:
 
 1. Min-hash keys bring likely partners together; of the least classes of its keys, each class is
-   compared with that of most keys.  The links, checked exactly, give preliminary components.  This is linear in
-   the input whatever the size of a group of near copies, but may miss links.
+   compared with that of most keys.  The links, checked exactly, give preliminary components.  Two more
+   rounds do so for the components of a key. This is linear in the input whatever the size of a group of near copies, but may miss links.
 2. An exact pass finds what is missing.  By the prefix principle two linked sets share one of
    the first n - ceil(0.75 n) + 1 shingles of any global order; here rare ones come first.
    Shingles that lead to a single preliminary component are done.  The others form lots (those
@@ -45,6 +45,8 @@ N = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, ROWS = 10, 3
+#: Further rounds of step 1, between the components that it has found.
+AGAIN = 2
 #: Least and most bits of a bitmap; between them eight bits or more for each shingle.
 BITS, WIDE = 1024, 1 << 17
 TILE = 1024
@@ -238,6 +240,14 @@ def _likely(heads: DataFrame) -> DataFrame:
     return _pass_bound(best, heads)
 
 
+def _between(placed: DataFrame) -> DataFrame:
+    """Step 1 again: the least class of each component in a key with the key's least class."""
+    keyed = placed.select("cls", "comp", F.explode("keys").alias("key"))
+    parts = keyed.groupBy("key", "comp").agg(F.min("cls").alias("b"))
+    least = parts.groupBy("key").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    return _pass_bound(parts.join(least, "key").where("a <> b").select("a", "b").distinct(), placed)
+
+
 def _pass_bound(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     x = heads.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("wide").alias("ba"))
     y = heads.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("bb"))
@@ -366,9 +376,15 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if repeated:  # the same row twice: its sketch would meet itself
         heads = written(heads.dropDuplicates(["cls"]))
     near = written(_verified(written(_likely(heads)), heads, docs))
-    first = written(components(near))
-    spread = F.broadcast(first) if small(first, MAX_BROADCAST) else first
-    placed = heads.join(spread.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
+    for k in range(AGAIN + 1):
+        first = written(components(near))
+        spread = F.broadcast(first) if small(first, MAX_BROADCAST) else first
+        placed = heads.join(spread.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
+        if k < AGAIN:
+            more = written(_verified(written(_between(placed)), heads, docs))
+            if more.isEmpty():
+                break
+            near = written(near.unionByName(more))
     total = flat.agg(F.coalesce(F.sum(F.size(F.coalesce("prefix", F.array().cast("array<long>")))), F.lit(0)).alias("t")).first()["t"]
     undecided = written(_undecided(placed, max(12, int(total // 1_000_000))))
     partitions = max(12, undecided.count() // 20_000)
