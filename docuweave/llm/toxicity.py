@@ -18,11 +18,11 @@ labels, every probability is that class's smoothed share.  Extra columns pass th
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,13 +51,53 @@ def parts(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(4, 8) if len(word) > k)]
 
 
-def _sparse(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    rows, cols = [], []
-    for i, s in enumerate(sets):
-        hits = [index[f] for f in s if f in index]
-        rows.extend([i] * len(hits))
-        cols.extend(hits)
-    return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+def encoded(texts: list[str], least_df: int = 5) -> tuple[list[np.ndarray], list[str]]:
+    """Each text's features as numbers into the sorted list of features of ``least_df`` texts or more.
+
+    Features are counted as 64-bit hashes, and only those that stay are held as strings, so memory
+    follows the sample's distinct features a text at 8 bytes each.
+    """
+    known: dict[str, list[int]] = {}
+    hashed = []
+    for t in texts:
+        hits: set[int] = set()
+        for w in words(t):
+            hs = known.get(w)
+            if hs is None:
+                if len(known) > 100_000:
+                    known.clear()
+                hs = known[w] = [xxhash.xxh3_64_intdigest(f) for f in parts(w)]
+            hits.update(hs)
+        hashed.append(np.sort(np.fromiter(hits, np.uint64, len(hits))))
+    known.clear()
+    values, counts = np.unique(np.concatenate([*hashed, np.empty(0, np.uint64)]), return_counts=True)
+    kept = values[counts >= least_df]
+    wanted, name = set(kept.tolist()), {}
+    for t in texts:
+        for w in words(t):
+            for f in parts(w):
+                h = xxhash.xxh3_64_intdigest(f)
+                if h in wanted:
+                    wanted.discard(h)
+                    name[h] = f
+        if not wanted:
+            break
+    names = sorted(name.values())
+    place = {f: i for i, f in enumerate(names)}
+    rank = np.array([place[name[h]] for h in kept.tolist()], dtype=np.int32)
+    return [np.sort(rank[np.searchsorted(kept, h[np.isin(h, kept, assume_unique=True)])]) for h in hashed], names
+
+
+def _counts(sets: list[np.ndarray], y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many marked and how many other texts have each feature."""
+    return tuple(np.bincount(np.concatenate([*(s for s, k in zip(sets, y, strict=True) if bool(k) == c), np.empty(0, np.int32)]).astype(np.int64), minlength=width) for c in (True, False))
+
+
+def _sparse(sets: list[np.ndarray], chosen: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.full(width, -1, dtype=np.int64)
+    at[chosen] = np.arange(len(chosen))
+    cols = [c[c >= 0] for c in (at[s] for s in sets)]
+    return np.repeat(np.arange(len(sets)), [len(c) for c in cols]), np.concatenate([*cols, np.empty(0, np.int64)])
 
 
 def _fit_link(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, w: np.ndarray, width: int, l1: float, rounds: int = 300) -> dict:
@@ -86,67 +126,53 @@ def _apply_link(link: dict, rows: np.ndarray, cols: np.ndarray, dense: np.ndarra
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def telling(sets: list[set[str]], y: np.ndarray, most: int = FEATURES, least_df: int = 5) -> list[str]:
+def telling(sets: list[np.ndarray], y: np.ndarray, width: int, most: int = FEATURES) -> np.ndarray:
     """The features whose share differs most between the classes, by the two-proportion z score."""
-    pos, neg = Counter(), Counter()
-    for s, k in zip(sets, y, strict=True):
-        (pos if k else neg).update(s)
+    pos, neg = _counts(sets, y, width)
     p, n = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
+    q = (pos + neg) / (p + n)
+    z = (pos / p - neg / n) / np.sqrt(q * (1 - q) * (1 / p + 1 / n) + 1e-12)
+    return np.argsort(-np.abs(z), kind="stable")[:most]
 
-    def z(f: str) -> float:
-        a, b = pos[f], neg[f]
-        q = (a + b) / (p + n)
-        return (a / p - b / n) / np.sqrt(q * (1 - q) * (1 / p + 1 / n) + 1e-12)
-
-    known = [f for f in pos.keys() | neg.keys() if pos[f] + neg[f] >= least_df]
-    return sorted(known, key=lambda f: (-abs(z(f)), f))[:most]
 
-
-def find_categories(sets: list[set[str]], y: np.ndarray, names: list[str], k: int = CATEGORIES) -> np.ndarray:
+def find_categories(sets: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, width: int, k: int = CATEGORIES) -> np.ndarray:
     """Rows x k of 0 and 1: groups of telling features that occur in the same marked texts.
 
     Spherical k-means with seeds far apart; a marked text has the categories of at least one
     quarter of its telling features, and its commonest one in any case.
     """
+    out = np.zeros((len(sets), k), dtype=int)
+    if not len(chosen):
+        return out
     marked = np.flatnonzero(y)
-    index = {f: i for i, f in enumerate(names)}
-    at = {d: i for i, d in enumerate(marked)}
-    m = np.zeros((len(names), len(marked)), dtype=np.float32)
-    for d in marked:
-        for f in sets[d]:
-            if f in index:
-                m[index[f], at[d]] = 1
+    rows, cols = _sparse([sets[d] for d in marked], chosen, width)
+    m = np.zeros((len(chosen), len(marked)), dtype=np.float32)
+    m[cols, rows] = 1
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
     seeds = [0]
     near = m @ m[0]
-    while len(seeds) < min(k, len(names)):
+    while len(seeds) < min(k, len(chosen)):
         seeds.append(int(np.argmin(near)))
         near = np.maximum(near, m @ m[seeds[-1]])
     centre = m[seeds]
-    group = np.zeros(len(names), dtype=int)
+    group = np.zeros(len(chosen), dtype=int)
     for _ in range(10):
         group = np.argmax(m @ centre.T, axis=1)
         centre = np.array([m[group == j].sum(0) if (group == j).any() else centre[j] for j in range(len(seeds))])
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-    out = np.zeros((len(sets), k), dtype=int)
-    for d in marked:
-        hits = Counter(int(group[index[f]]) for f in sets[d] if f in index)
-        if hits:
-            top = max(hits.values())
-            for j, c in hits.items():
-                out[d, j] = int(c == top or c >= sum(hits.values()) / 4)
+    hits = np.zeros((len(marked), k), dtype=np.int64)
+    np.add.at(hits, (rows, group[cols]), 1)
+    out[marked] = (hits > 0) & ((hits == hits.max(axis=1, keepdims=True)) | (4 * hits >= hits.sum(axis=1, keepdims=True)))
     return out
 
 
-def fit_chain(texts: list[str], labels: dict[str, np.ndarray], weight: np.ndarray | None = None) -> dict:
-    """Fit one link for each label, in the order given; the last is the outcome."""
+def fit_chain(sets: list[np.ndarray], features: list[str], labels: dict[str, np.ndarray], weight: np.ndarray | None = None) -> dict:
+    """Fit one link for each label, in the order given, on ``encoded`` texts; the last is the outcome."""
     names = list(labels)
     y_last = np.asarray(labels[names[-1]], dtype=float)
     w = np.ones(len(y_last)) if weight is None else weight
-    sets = [{f for x in words(t) for f in parts(x)} for t in texts]
-    vocabulary = telling(sets, y_last)
-    index = {f: i for i, f in enumerate(vocabulary)}
-    rows, cols = _sparse(sets, index)
+    vocabulary = telling(sets, y_last, len(features))
+    rows, cols = _sparse(sets, vocabulary, len(features))
     fold = np.arange(len(sets)) % FOLDS
     dense = np.zeros((len(sets), 0))
     links = []
@@ -165,7 +191,7 @@ def fit_chain(texts: list[str], labels: dict[str, np.ndarray], weight: np.ndarra
     used = np.flatnonzero(sum(np.abs(x["words"]) for x in links))
     return {
         "names": names,
-        "index": {vocabulary[j]: i for i, j in enumerate(used)},
+        "index": {features[vocabulary[j]]: i for i, j in enumerate(used)},
         "threshold": threshold,
         "links": [{"words": x["words"][used], "links": x["links"], "bias": x["bias"]} for x in links],
     }
@@ -187,13 +213,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
         return {"names": [label], "constant": float((y.sum() + 1) / (len(y) + 2)), "threshold": 0.5}
     counts = {r["y"]: r["n"] for r in labels.where(F.pmod(crc("doc_id"), F.lit(5)) != 0).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = np.where(y == 1, counts.get(1, 1) / y.sum(), counts.get(0, 1) / (len(y) - y.sum()))
-    texts = [t for _, t, _ in sample]
-    sets = [{f for x in words(t) for f in parts(x)} for t in texts]
-    found = telling(sets, y, 400)
-    share = {f: sum(f in s for s, k in zip(sets, y, strict=True) if k) / y.sum() - sum(f in s for s, k in zip(sets, y, strict=True) if not k) / (len(y) - y.sum()) for f in found}
-    groups = find_categories(sets, y, [f for f in found if share[f] > 0] or found)
+    sets, features = encoded([t for _, t, _ in sample])
+    del sample
+    found = telling(sets, y, len(features), 400)
+    pos, neg = _counts(sets, y, len(features))
+    commoner = found[(pos / y.sum() > neg / (len(y) - y.sum()))[found]]
+    groups = find_categories(sets, y, commoner if len(commoner) else found, len(features))
     chain = {f"category_{j + 1}": groups[:, j] for j in range(groups.shape[1]) if 4 <= groups[:, j].sum()}
-    return fit_chain(texts, chain | {label: y}, weight / weight.mean())
+    return fit_chain(sets, features, chain | {label: y}, weight / weight.mean())
 
 
 def chain_column(text: Column, model: dict) -> Column:
