@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import centrality as C
+from ..operators import evaluation as E
 from ..operators import graph as G
+from ..operators import retrieval as R
+from ..operators import topics as P
 from ..operators import vectors as V
 
 NAME = r"[A-Z][A-Za-z0-9-]+(?: [A-Z][A-Za-z0-9-]+)*"
@@ -236,3 +240,90 @@ def capped_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = V.similar_pairs(vectors(spark, sf_dir), EDGE)
     none = pairs.select(F.col("i").alias("src"), F.col("j").alias("dst")).limit(0)
     return G.capped_edges(pairs, none, 3).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+# ------------------------------------------------------------------- resolution, retrieval, measures
+
+
+@query()
+def leader_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaders in the order of ids among vectors of one type; tested against the sequential scan."""
+    v = vectors(spark, sf_dir)
+    kind = lambda c: v.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}"))
+    pairs = V.similar_pairs(v, EDGE).join(kind("i"), "i").join(kind("j"), "j").where("l_i = l_j")
+    return C.leaders(v, pairs)
+
+
+@query()
+def eigenvector_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.eigenvector(nodes_emb(spark, sf_dir), edges_emb(spark, sf_dir))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = vectors(spark, sf_dir).select("label", F.posexplode("vector").alias("k", "x"))
+    means = dims.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
+    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vector"), F.max("n").alias("size"))
+    return P.build_tree(rows.select(F.format_string("topic_%03d", F.col("label").cast("int")).alias("id"), F.get(F.array(*map(F.lit, TYPES)), F.col("label")).alias("name"), "vector", "size"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where("id % 20 = 0")
+
+
+@query()
+def topic_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).drop("vector")
+
+
+@query()
+def tree_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.tree_quality(_tree(spark, sf_dir))
+
+
+@query()
+def retrieve_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.traverse(_asked(spark, sf_dir), _tree(spark, sf_dir))
+
+
+@query()
+def retrieve_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.collapsed(_asked(spark, sf_dir), _tree(spark, sf_dir))
+
+
+@query()
+def retrieve_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.adaptive(_asked(spark, sf_dir), _tree(spark, sf_dir))
+
+
+@query()
+def retrieve_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds by similarity, two hops, scores: the queries are the vectors whose id is divisible by 20."""
+    v, asked = vectors(spark, sf_dir), _asked(spark, sf_dir)
+    edges = edges_emb(spark, sf_dir).select("src", "dst", F.lit("related_to").alias("relation"), F.xxhash64("src", "dst").alias("ord"))
+    seeds = V.nearest(asked, v)
+    known = v.select("id", "vector", F.lit(None).cast("double").alias("importance"), F.lit(None).cast("double").alias("pagerank"))
+    best = R.score(R.expand(seeds, edges), asked, known)
+    return best.select("query", "id", "hop", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_SQL_D = "p AS (SELECT a.vec_id AS id, a.label AS c, b.label AS o, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d, count(*) AS n FROM embeddings a CROSS JOIN embeddings b WHERE a.label >= 0 AND b.label >= 0 GROUP BY 1, 2, 3), s AS (SELECT id, max(CASE WHEN c = o AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN c <> o THEN d / n END) AS b FROM p GROUP BY 1)"
+
+
+@query(f"WITH {_SQL_D} SELECT id, round(coalesce((b - a) / nullif(CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE greatest(a, b) END, 0), 0), 5) + 0.0 AS silhouette FROM s")
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.silhouettes(vectors(spark, sf_dir).withColumnRenamed("label", "cluster"))
+    return out.select("id", (F.round("silhouette", 5) + 0.0).alias("silhouette"))
+
+
+@query(f"WITH {SQL_NODES}, {SQL_EDGES}, i AS (SELECT s.cluster AS c, count(*) AS e FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst WHERE s.cluster = t.cluster GROUP BY 1), z AS (SELECT cluster, count(*) AS k FROM nodes WHERE cluster >= 0 GROUP BY 1) SELECT cluster, k::BIGINT AS size, round(least(1.0, 0.3 * coalesce(e, 0) / greatest(k * (k - 1), 1) + 0.2 * least(1.0, k / 50.0) + 0.1 * least(1.0, k / 20.0)), 9) AS score FROM z LEFT JOIN i ON i.c = cluster")
+def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = nodes_emb(spark, sf_dir).withColumns({"importance": F.lit(0.0), "mentions": F.lit(1)})
+    return P.topic_scores(nodes, edges_emb(spark, sf_dir)).select("cluster", "size", F.round("score", 9).alias("score"))
+
+
+@query("WITH got AS (SELECT DISTINCT o_custkey AS query, l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 25), want AS (SELECT DISTINCT o_custkey AS query, l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity <= 35), s AS (SELECT query, count(g) AS got, count(w) AS want, count(CASE WHEN g = 1 AND w = 1 THEN 1 END) AS hit FROM (SELECT *, 1 AS g FROM got) FULL JOIN (SELECT *, 1 AS w FROM want) USING (query, id) GROUP BY 1) SELECT query, round(coalesce(hit / nullif(got, 0)::DOUBLE, 0), 9) AS precision, round(coalesce(hit / nullif(want, 0)::DOUBLE, 0), 9) AS recall, round(coalesce(2.0 * hit / nullif(got + want, 0), 0), 9) AS f1 FROM s")
+def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    rows = lambda cond: lines.where(cond).select(F.col("o_custkey").alias("query"), F.col("l_partkey").alias("id"))
+    out = E.prf(rows("l_quantity >= 25"), rows("l_quantity <= 35"))
+    return out.select("query", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
