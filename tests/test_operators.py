@@ -78,7 +78,10 @@ def test_tree_and_its_retrieval(spark):
     assert {r["query"] for r in walked} == {1}
     assert any(r["id"] in ("t0", "t1", "t2", "t3") for r in walked)
     assert R.collapsed(asked, tree).where("query = 1").count() == 8  # four leaves, two parents, one above, the root
-    assert {(r["query"], r["mode"]) for r in R.adaptive(asked, tree).collect()} == {(1, "narrow"), (2, "broad")}
+    between = spark.createDataFrame([(3, [1.0, 1.0])], "id long, vector array<double>")  # the root fits best; the best leaf has 0.75
+    got = R.adaptive(asked.unionByName(between), tree, sure=0.8).collect()
+    assert {(r["query"], r["mode"]) for r in got} == {(1, "narrow"), (3, "broad")}  # 2: the leaves fit best, but the root fails
+    assert [r["id"] for r in got if r["query"] == 3] == ["root"]
 
 
 def test_graph_formats(spark, tmp_path):
