@@ -355,6 +355,30 @@ def _compare(tiles: DataFrame, heads: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "lot", "band", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _settled(extra: DataFrame, near: DataFrame, first: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of all of ``near`` and of the linked pairs of ``extra``.
+
+    Groups of near copies that differ give many candidates between the same two components, and
+    one link decides.  So one pair of each two components is verified first, ``AGAIN`` times; what
+    then still lies between two components is verified whole.
+    """
+    links, roots, left = near, first, extra
+    for k in range(AGAIN + 1):
+        end = lambda c, roots=roots: roots.select(F.col("node").alias(c), F.col("root").alias(f"c{c}"))
+        placed = left.join(end("a"), "a", "left").join(end("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+        apart = written(placed.where("ca <> cb"))
+        if apart.isEmpty():
+            break
+        left = apart.select("a", "b")
+        pick = left
+        if k < AGAIN:
+            two = apart.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
+            pick = written(two.agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))).alias("p")).select("p.a", "p.b"))
+        links = written(links.unionByName(_verified(pick, heads, docs)))
+        roots = written(components(links))
+    return links
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(doc_id, text)
 
@@ -389,10 +413,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     undecided = written(_undecided(placed, max(12, int(total // 1_000_000))))
     partitions = max(12, undecided.count() // 20_000)
     extra = written(_compare(_tiles(undecided), heads, partitions))
-    links = near
-    if not extra.isEmpty():
-        links = near.unionByName(_verified(extra, heads, docs))
-    final = written(components(links))
+    final = written(components(_settled(extra, near, first, heads, docs)))
     ids = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return flat, written(ids.select("cls", "root", "first_doc", "rkey", "copies"))
 
