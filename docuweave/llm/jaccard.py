@@ -19,6 +19,9 @@ the links that decide the components:
 The order of shingles follows their frequency in a sixteenth of the texts; any order gives right
 results.  Only the ``HEAVY`` most frequent shingles are broadcast (8 bytes each).
 
+``jaccard_components`` and ``keep_one`` find the links that decide components, and no more.
+``jaccard_links`` and ``link_counts`` leave out step 1 and verify every candidate of step 2: all links.
+
 Defined results: null and empty texts, and texts of white space alone, have no set, link with
 nothing, and are their own component; repeated rows are copies; a null doc_id takes part but is
 never a component's id unless all its members' ids are null; extra columns are ignored.
@@ -379,12 +382,20 @@ def _settled(extra: DataFrame, near: DataFrame, first: DataFrame, heads: DataFra
     return links
 
 
+def _candidates(placed: DataFrame, flat: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b), written: all pairs of classes of different ``comp`` that the prefixes, sizes and bit counts allow."""
+    total = flat.agg(F.coalesce(F.sum(F.size(F.coalesce("prefix", F.array().cast("array<long>")))), F.lit(0)).alias("t")).first()["t"]
+    undecided = written(_undecided(placed, max(12, int(total // 1_000_000))))
+    partitions = max(12, undecided.count() // 20_000)
+    return written(_compare(_tiles(undecided), heads, partitions))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (rkey, doc_id, n, cls) and classes (cls, root, first_doc, rkey, copies); both written tables."""
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows with keys, their sketches, the classes (cls, first_doc, rkey, copies) and one sketch of each class."""
     docs = docs.select(row_key().alias("rkey"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     flat = written(_sketches(docs, *_frequent(docs)))
     known = flat.where("cls is not null")
@@ -399,6 +410,12 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated = not known.groupBy("rkey").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
     if repeated:  # the same row twice: its sketch would meet itself
         heads = written(heads.dropDuplicates(["cls"]))
+    return docs, flat, classes, heads
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (rkey, doc_id, n, cls) and classes (cls, root, first_doc, rkey, copies); both written tables."""
+    docs, flat, classes, heads = _prepared(docs)
     near = written(_verified(written(_likely(heads)), heads, docs))
     for k in range(AGAIN + 1):
         first = written(components(near))
@@ -409,10 +426,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if more.isEmpty():
                 break
             near = written(near.unionByName(more))
-    total = flat.agg(F.coalesce(F.sum(F.size(F.coalesce("prefix", F.array().cast("array<long>")))), F.lit(0)).alias("t")).first()["t"]
-    undecided = written(_undecided(placed, max(12, int(total // 1_000_000))))
-    partitions = max(12, undecided.count() // 20_000)
-    extra = written(_compare(_tiles(undecided), heads, partitions))
+    extra = _candidates(placed, flat, heads)
     final = written(components(_settled(extra, near, first, heads, docs)))
     ids = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return flat, written(ids.select("cls", "root", "first_doc", "rkey", "copies"))
@@ -430,6 +444,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links (a, b), a < b, between classes, and the members (cls, doc_id, n_shingles, n_copies).
+
+    Every row is a member; rows of one class are linked with each other, and with all rows of the
+    classes that theirs is linked with.  Rows without words have a null class and no links.
+    Each class is its own component here, so no pair is skipped: the work grows with the number of
+    links, which in a group of near copies is the square of its distinct texts.
+    """
+    docs, flat, classes, heads = _prepared(docs)
+    pairs = _candidates(heads.withColumn("comp", F.col("cls")), flat, heads)
+    links = written(_verified(pairs, heads, docs))
+    members = flat.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(classes.select("cls", "copies"), "cls", "left")
+    return links, members.select("cls", "doc_id", "n_shingles", F.coalesce("copies", F.lit(1)).alias("n_copies"))
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_copies and n_links, the number of other rows it is linked with, of every row of (doc_id, text)."""
+    links, members = jaccard_links(docs)
+    sizes = members.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("k").alias("others"))
+    return members.join(others, "cls", "left").select("doc_id", "n_shingles", "n_copies", (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, with one row of each group of linked documents: that of the least doc_id.
 

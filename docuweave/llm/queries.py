@@ -33,6 +33,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -67,4 +72,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(crc("doc_id"), F.lit(5)) == 0).alias("held_out"), last.alias("score"), (last >= model["threshold"]).cast("int").alias("predicted"), links.alias("categories"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_url_filter, op4_jaccard_join, op5_length_buckets, op6_backoff_scores, op7_decontamination, op8_matroska, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_url_filter, op4_jaccard_join, op4_jaccard_links, op5_length_buckets, op6_backoff_scores, op7_decontamination, op8_matroska, op9_sharding, op10_toxicity)}

@@ -53,6 +53,26 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_jaccard_links_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    rnd = random.Random(14)
+    rows, base = [(900, None), (901, " "), (902, None)], [text_of(rnd, n, 500) for n in (4, 9, 30, 80)]
+    for i in range(160):
+        w = rnd.choice(base).split()
+        for _ in range(rnd.randrange(3)):
+            w[rnd.randrange(len(w))] = f"z{rnd.randrange(900)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in rows}
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    expected = {i: sum(i != j and linked(sets[i], sets[j]) for j in sets) for i in sets}
+    got = jaccard.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == expected and max(expected.values()) > 20
+    links, members = jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {r["cls"]: sets[r["doc_id"]] for r in members.collect() if r["cls"] is not None}
+    pairs = {frozenset((r["a"], r["b"])) for r in links.collect()}
+    assert pairs == {frozenset(p) for p in itertools.combinations(of, 2) if linked(of[p[0]], of[p[1]])} and len(pairs) > len(of)
+
+
 def test_jaccard_bound_never_loses_a_link():
     rnd = np.random.RandomState(0)
     for _ in range(300):
