@@ -5,13 +5,15 @@ root.  Each node knows in how many of the host's pages it occurs, with which pre
 sequence of its children's labels) and with which contents (hashes of the blocks of text in
 it).  A node whose presentations are many, and whose contents seldom repeat, matters; a node
 that looks and reads alike on all pages, by the entropy of both, does not.  A block's importance
-is that of its least important branch, and what the markup says about the branch shifts it:
-articles up; menus, footers, forms, adverts, notices and reader comments down.  Branches below
-``KEEP`` go.
+is that of its least important branch, the block's own text among them, drawn to ``NEUTRAL`` where
+few pages tell of it.  What the markup says shifts it: articles up by ``UP``, what lies outside the
+page's article down by ``OUTSIDE``; entropy can overrule both.  Menus, footers, forms, adverts, notices and reader
+comments go whatever their entropy, since comments and teasers vary as articles do.  Class words
+of html, body and of wrappers say nothing.  Blocks below ``KEEP`` go.
 
 Two passes read the pages.  The first sends only counted hashes through the shuffle, so a host
 with a third of all pages is pre-aggregated like any other.  The second reads each page with its
-host's list of unimportant nodes, which was joined to it; that list is broadcast only if it has
+host's list of telling nodes, which was joined to it; that list is broadcast only if it has
 at most ``MAX_BROADCAST`` nodes in all, and joined by host otherwise.
 
 Defined results: null and empty html give the empty text; markup that is cut off or badly nested
@@ -36,6 +38,10 @@ from .common import ship, written
 ship(__name__)
 
 KEEP = 0.4
+#: Importance without evidence, and how far the markup shifts it: neutral blocks go by the markup.
+NEUTRAL, UP, OUTSIDE = 0.5, 0.3, -0.3
+#: Text that at least so many pages share may count against a block by itself.
+SHARED = 3
 DECAY = 0.9
 MAX_BROADCAST = 200_000
 
@@ -184,34 +190,62 @@ def observe(source: str | None) -> set[tuple[str, int, int]]:
     return seen
 
 
-def prior(chain: tuple, has_article: bool) -> float:
-    """How the markup shifts a block: its lowest branch counts, and being in an article or not."""
-    shift, inside = 0.0, False
+def _down(e: Element) -> bool:
+    return e.tag in DOWN_TAGS or bool(set(e.words) & DOWN_WORDS)
+
+
+def wrappers(blocks: list[Block]) -> set[int]:
+    """The elements (by id) whose class words say nothing: html, body, and those that hold nearly all
+    of the page's text, or half of it with an article that is not itself marked down."""
+    size: Counter = Counter()
+    found: dict[int, Element] = {}
+    around: set[int] = set()
+    for b in blocks:
+        for i, e in enumerate(b.chain):
+            size[id(e)] += len(b.text)
+            found[id(e)] = e
+            if e.tag in UP_TAGS and not _down(e):
+                around.update(id(x) for x in b.chain[:i])
+    total = sum(len(b.text) for b in blocks)
+    return {k for k, e in found.items() if e.tag in ("", "html", "body") or e.tag not in UP_TAGS and (10 * size[k] >= 9 * total or (k in around and 2 * size[k] >= total))}
+
+
+def prior(chain: tuple, has_article: bool, plain: set[int] | frozenset[int] = frozenset()) -> float | None:
+    """How the markup shifts a block, by being in an article or not; None where its lowest branch is marked down."""
+    inside = False
     for e in chain:
-        words = set(e.words)
+        words = frozenset() if id(e) in plain else set(e.words)
         if e.tag in UP_TAGS or "main" in words and e.tag == "div" or words & UP_WORDS:
-            inside, shift = True, max(shift, 1.0)
+            inside = True
         if e.tag in DOWN_TAGS or words & DOWN_WORDS or (not inside and (e.tag == "header" or words & HEAD_WORDS)):
-            return -1.0
-    return shift if inside else (-0.7 if has_article else 0.0)
+            return None
+    return UP if inside else (OUTSIDE if has_article else 0.0)
 
 
-def extract(source: str | None, low: dict[int, float] | None = None) -> str:
-    """The main text of a page, given its host's unimportant nodes (hash of path, importance)."""
+def extract(source: str | None, known: dict[int, float] | None = None) -> str:
+    """The main text of a page, given its host's telling nodes (hash of path, or of path and text, to importance)."""
     blocks, elements = parse(source)
     has_article = any(e.tag in UP_TAGS for e in elements)
+    plain = wrappers(blocks)
     kept = []
     for b in blocks:
-        importance = 1.0
-        if low:
-            for e in b.chain:
-                if e.tag in BLOCK:
-                    importance = min(importance, low.get(_hash(e.path), 1.0))
-        if importance + prior(b.chain, has_article) >= KEEP:
+        shift = prior(b.chain, has_article, plain)
+        if shift is None:
+            continue
+        importance = NEUTRAL
+        if known:
+            told = [known[h] for h in {_hash(e.path) for e in b.chain if e.tag in BLOCK} if h in known]
+            text = known.get(_text_node(_block_path(b.chain), _hash(b.text)))
+            importance = min([*told, *([] if text is None else [text])], default=NEUTRAL)
+        if importance + shift >= KEEP:
             kept.append(b.text)
     return "\n\n".join(kept)
 
 
+def _text_node(path: str, code: int) -> int:
+    return _hash(f"{path}\0{code}")
+
+
 _SEEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("hash", pa.int64()), ("n", pa.int64())])
 
 
@@ -234,15 +268,17 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def unimportant(pages: DataFrame) -> DataFrame:
-    """(host, node, importance) of the nodes that occur in two pages of a host and matter less than ``KEEP`` + 1.
+def telling(pages: DataFrame) -> DataFrame:
+    """(host, path, code, importance) of the nodes that occur in two pages of a host; with a code, of shared texts.
 
-    ``pages`` has host and html.  Importance is between 0 and 1:
+    ``pages`` has host and html.  A node's importance is between 0 and 1:
     (1 - DECAY^l) * entropy of the presentations + DECAY^l * mean over the contents below of
     (1 - log(pages with the content) / log(pages with the node)), l the number of presentations.
+    That of a text in ``SHARED`` pages or more is its own term of that mean, and is listed if it is below
+    ``KEEP`` and its node's is not.  Both are drawn to ``NEUTRAL`` by one part in the node's pages.
     """
     seen = pages.where("host <> ''").select("host", "html").mapInArrow(_observe, "host string, path string, kind int, hash long, n long")
-    counts = seen.groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("n"))
+    counts = written(seen.groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("n")))
     per = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("m"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("styles"),
@@ -258,16 +294,20 @@ def unimportant(pages: DataFrame) -> DataFrame:
     style = 1 - F.coalesce(F.col("style_nlogn"), F.lit(0.0)) / (F.col("m") * F.log("m"))
     content = 1 - F.coalesce(F.col("alike_below") / F.col("contents_below"), F.lit(1.0))
     weight = F.pow(F.lit(DECAY), F.col("styles").cast("double"))
-    scored = per.join(below, ["host", "path"], "left").select("host", "path", ((1 - weight) * F.least(F.greatest(style, F.lit(0.0)), F.lit(1.0)) + weight * F.least(F.greatest(content, F.lit(0.0)), F.lit(1.0))).alias("importance"))
-    return scored.where(F.col("importance") < KEEP)
+    raw = (1 - weight) * F.least(F.greatest(style, F.lit(0.0)), F.lit(1.0)) + weight * F.least(F.greatest(content, F.lit(0.0)), F.lit(1.0))
+    drawn = lambda x: F.lit(NEUTRAL) + (x - NEUTRAL) * (1 - 1 / F.col("m"))
+    nodes = written(per.join(below, ["host", "path"], "left").select("host", "path", "m", drawn(raw).alias("importance")))
+    texts = counts.where((F.col("kind") == 2) & (F.col("n") >= SHARED)).join(nodes.where(F.col("importance") >= KEEP).select("host", "path", "m"), ["host", "path"])
+    texts = texts.select("host", "path", F.col("hash").alias("code"), drawn(F.greatest(1 - F.log("n") / F.log("m"), F.lit(0.0))).alias("importance")).where(F.col("importance") < KEEP)
+    return nodes.select("host", "path", F.lit(None).cast("long").alias("code"), "importance").unionByName(texts)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
-    low = written(unimportant(hosted))
-    lists = low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("low"))
+    low = written(telling(hosted))
+    lists = low.groupBy("host").agg(F.collect_list(F.struct("path", "code", "importance")).alias("low"))
     if low.count() <= MAX_BROADCAST:
         lists = F.broadcast(lists)
 
@@ -280,7 +320,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 if key not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[key] = {_hash(x["path"]): x["importance"] for x in nodes.as_py() or ()}
+                    known[key] = {_hash(x["path"]) if x["code"] is None else _text_node(x["path"], x["code"]): x["importance"] for x in nodes.as_py() or ()}
                 texts.append(extract(page.as_py(), known[key]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

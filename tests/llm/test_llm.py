@@ -199,6 +199,20 @@ def test_style_tree_drops_what_all_pages_share(spark):
     assert got[3] == "words of page 3\n\nmore 21" and got[90] == "" and got[None] == "y" and len(got) == 42
 
 
+def test_entropy_overrules_the_markup(spark):
+    rnd = random.Random(22)
+    page = lambda i: f"<body class='post has-sidebar no-cookies'><article><p>teaser</p></article><div id=body><p>{text_of(rnd, 30, 900)}</p><p>{text_of(rnd, 30, 900)}</p></div></body>"
+    inside = lambda i: f"<article><div><p>subscribe to our letter</p></div><p>same words on all pages</p><p>{text_of(rnd, 30, 900)}</p><p>{text_of(rnd, 30, 900)}</p></article>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://b.example/{i}", inside(i)) for i in range(40)]
+    rows += [(200 + i, "http://c.example/x", "<article><p>one page twice</p></article>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in styletree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].count("\n\n") == 1 and "teaser" not in got[i] for i in range(40))
+    assert all(got[100 + i].count("\n\n") == 1 and "same words" not in got[100 + i] and "subscribe" not in got[100 + i] for i in range(40))
+    assert got[200] == got[201] == "one page twice"
+    assert styletree.extract("<body class='no-cookies'><div class='has-sidebar'><p>a</p></div></body>") == "a"
+    assert styletree.extract("<article>a b c</article><div id=comments><article class=comment>a long reply of many words</article></div>") == "a b c"
+
+
 def test_urls(spark):
     rows = [(1, "http://a.example.com/en/1"), (2, "https://EXAMPLE.com/en/77?q"), (3, "ftp://x.net/de/1#a"), (4, "http://example.net/de/8"), (5, "b.org/es/1"), (6, None), (7, "http://notcom/en/1"), (8, "http://q.org/es/"), (9, "s://Ünet/de/"), (10, "http://z.net?/de/")]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
