@@ -261,6 +261,28 @@ def test_latent_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == planted
 
 
+def test_latent_finds_paraphrases(spark):
+    rnd = random.Random(77)
+    items = [(i, text_of(rnd, rnd.randrange(15, 60), 2000)) for i in range(120)]
+    docs = [(i, text_of(rnd, rnd.randrange(1, 200), 2000)) for i in range(200)]
+    kinds = {}
+    for share in (0.1, 0.2, 0.3):
+        for i, t in items:
+            w = t.split()
+            n = round(share * len(w))
+            # Every second one rewords its ending.
+            for k in range(len(w) - n, len(w)) if i % 2 else rnd.sample(range(len(w)), n):
+                w[k] = f"other{rnd.randrange(10**6)}"
+            kinds[1000 + len(kinds)] = (i, share)
+            docs.append((999 + len(kinds), text_of(rnd, 40, 2000) + " " + " ".join(w) + " " + text_of(rnd, 50, 2000)))
+    got = latent.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    hits = {(r["doc_id"], r["item_id"]) for r in got}
+    right = {(d, i) for d, (i, _) in kinds.items()}
+    recall = {s: sum((d, i) in hits for d, (i, x) in kinds.items() if x == s) / len(items) for s in (0.1, 0.2, 0.3)}
+    print("recall", recall, "other hits", len(hits - right))
+    assert min(recall.values()) >= 0.95 and hits <= right
+
+
 def test_lcs():
     rnd = random.Random(2)
     for _ in range(100):
