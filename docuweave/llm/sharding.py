@@ -2,7 +2,7 @@
 
 A document's label is its shard.  In each round every linked document counts its neighbours'
 shards, proposes to move to the commonest one if that saves a cut edge, and a shard accepts
-proposals, best first, up to its quota.  The rounds are joins and aggregations of small rows
+proposals, best first, up to its quota, until no document proposes to move.  The rounds are joins and aggregations of small rows
 (keys and labels, never texts).  At the end excess documents, unlinked ones first, move from
 over-full shards to those with room, so that counts differ by one at most.
 
@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from .common import ranked, text_key, written
 
 SHARDS = 24
-ROUNDS = 4
 
 
-def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Add ``shard`` and ``_linked`` to (key, tie, hub, ...), a written table.
 
     ``key`` is unique, ``tie`` is a hash of the document that orders and places it, and a null
@@ -39,7 +38,9 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     shared = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("hub is not null and _n > 1").select("hub")
     linked = written(placed.join(shared, "hub", "left_semi"))
     alone = placed.join(shared, "hub", "left_anti").withColumn("_linked", F.lit(0))
-    for _ in range(rounds):
+    # Rows only go from a hub's smaller shards to one as large or larger, and each asked shard has room, so
+    # every round raises the sum of squares of the hubs' counts: the loop ends.
+    while True:
         held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         room = {s: max(0, quota - held.get(s, 0)) for s in range(shards)}
         counts = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("_c"))

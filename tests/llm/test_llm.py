@@ -143,6 +143,13 @@ def test_shards(spark):
     assert sharding.shard_documents(odd(spark).limit(0)).collect() == []
 
 
+def test_shards_keep_a_hot_group_together(spark):
+    rows = [(i, "same" if i % 3 == 0 else f"t{i}") for i in range(2400)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    assert sorted(Counter(r["shard"] for r in got if r["doc_id"] % 3 == 0).values()) == [100] * 8
+    assert set(Counter(r["shard"] for r in got).values()) == {100}
+
+
 # -------------------------------------------------------------------------------------- 8 Matroska
 
 
