@@ -1,15 +1,16 @@
 """URL filter: rules first, then the ratio of two character language models.
 
 Only DataFrame functions run here.  URLs that a rule decides teach two smoothed variable-order
-Markov models, one of accepted and one of rejected URLs, over an alphabet of ``SYMBOLS`` signs.
+Markov models, one of accepted and one of rejected URLs, over an alphabet of ``SYMBOLS`` signs: the whole URL
+counts, with scheme, query and fragment; upper case reads as lower case, and rare signs as one.
 A URL's score is the log-likelihood difference divided by its length; a threshold calibrated on
 the fifth of the taught URLs that the models have not seen decides.
 
-The models meet as one table of SYMBOLS ** ORDER log ratios (32,768 numbers, whatever the input
+The models meet as one table of SYMBOLS ** ORDER log ratios (110,592 numbers, whatever the input
 size), which enters the plan as a literal array.  So scoring is a projection: no join, no
 shuffle, and no row leaves the JVM.
 
-Defined results: a null URL, and one without ``://``, has empty host and path, fits no rule and
+Defined results: a null URL, and one without ``://``, has empty host and path and fits no rule; a null URL
 is scored as the empty string; if no rule decides any URL, or only one way, the ratio is 0 and
 the verdict of the rest is that way, or ``allow``.
 """
@@ -21,7 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS = 32
+#: The start, 26 letters, 10 digits, the ten of ``SIGNS``, and all others.
+SYMBOLS = 48
+SIGNS = ".-/:?#&=_%"
 ORDER = 3
 #: A context counts once it was seen so often; rarer ones leave their say to shorter contexts.
 LEAST = 4
@@ -59,11 +62,15 @@ def rule_match(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column
 
 
 def codes(text: Column) -> Column:
-    """The text as symbol numbers, after two signs 0 for its start: a-z 1-26, digits 27, . - / 28-30, others 31."""
+    """The text as symbol numbers, after two signs 0 for its start: a-z 1-26, digits 27-36, ``SIGNS`` 37-46, others 47."""
     points = F.transform(F.filter(F.split(lower(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
-    number = lambda a: (
-        F.when((a >= 97) & (a <= 122), a - 96).when((a >= 48) & (a <= 57), F.lit(27)).when(a == 46, F.lit(28)).when(a == 45, F.lit(29)).when(a == 47, F.lit(30)).otherwise(F.lit(31))
-    )
+
+    def number(a: Column) -> Column:
+        out = F.when((a >= 97) & (a <= 122), a - 96).when((a >= 48) & (a <= 57), a - 21)
+        for i, sign in enumerate(SIGNS):
+            out = out.when(a == ord(sign), F.lit(37 + i))
+        return out.otherwise(F.lit(SYMBOLS - 1))
+
     return F.concat(F.array(F.lit(0), F.lit(0)), F.transform(points, number))
 
 
@@ -141,7 +148,7 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     host, path = host_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, says = rule_match(F.col("host"), F.col("path"), rules)
-    split = split.withColumns({"rule": rule, "_says": says, "_symbols": codes(F.concat("host", "path"))})
+    split = split.withColumns({"rule": rule, "_says": says, "_symbols": codes(F.coalesce("url", F.lit("")))})
     judged = split.where(F.col("_says").isNotNull()).select("_symbols", "_says", (F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0).alias("_held"))
     ratios, threshold = train(judged)
     out = split.withColumn("score", score(F.col("_symbols"), ratios))

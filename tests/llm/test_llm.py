@@ -230,6 +230,15 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_urls_are_scored_whole(spark):
+    taught = [(i, f"http://q{i}.com/en/{i}?free-bets={i}#win" if i % 2 else f"https://www{i}.net/de/{i}?page={i}") for i in range(60)]
+    rest = [(100, "http://x.info/a?free-bets=1"), (101, "http://x.info/a?page=1"), (102, "http://x.info/a#win"), (103, "https://x.info/a"), (104, "free-bets.info/x"), (105, "www.info/page"), (106, "ftp://x.info/1"), (107, "ftp://x.info/8"), (108, None), (109, "")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(taught + rest, "page_id long, url string")).collect()}
+    scores = [got[i]["score"] for i in range(100, 108)]
+    assert len(set(scores)) == 8 and got[100]["score"] < got[101]["score"] and got[104]["score"] < got[105]["score"]
+    assert got[108]["score"] == got[109]["score"] == 0 and got[104]["host"] == got[104]["path"] == ""
+
+
 # ------------------------------------------------------------------------------ 1, 7, 10: text models
 
 
