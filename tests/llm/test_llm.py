@@ -181,6 +181,14 @@ def test_media(spark):
         matroska.parse(whole[:cut])
 
 
+def test_feature_covers_the_whole_payload():
+    for text in ("", "a" * 600, "ab" * 5000, "x" * 9999 + "é"):
+        payload, _ = matroska.payload_of(text)
+        assert matroska.digest(text)[-1].endswith(f";mean={sum(payload) / len(payload):.3f}")
+    long = "a" * 20_000
+    assert matroska.digest(long)[-1] != matroska.digest(long[:1] + "z" * 70 + long[71:])[-1]
+
+
 # ----------------------------------------------------------------------------- 2 and 3: pages and URLs
 
 
