@@ -71,8 +71,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return u.unionByName(u.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """Power iteration with uniform dangling mass, a fixed number of rounds."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """Power iteration with uniform dangling mass: a fixed number of rounds, or, with a tolerance, until the L1 change is below nodes * tolerance.
+
+    If ``rounds`` do not reach the tolerance, that is an error.
+    """
     n = nodes.count()
     links = cut(edges.select("src", "dst").distinct())
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
@@ -81,8 +84,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     for k in range(rounds):
         dangling = rank.where("deg is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("d")).first()["d"]
         flow = links.join(rank.select(F.col("id").alias("src"), (F.col("pagerank") / F.col("deg")).alias("f")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("f").alias("f"))
+        old = rank
         rank = base.join(flow, "id", "left").select("id", "deg", (F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("f", F.lit(0.0))).alias("pagerank"))
-        rank = cut(rank) if k % 3 == 2 or k == rounds - 1 else rank
+        if tolerance is None:
+            rank = cut(rank) if k % 3 == 2 or k == rounds - 1 else rank
+            continue
+        rank = cut(rank)
+        change = rank.join(old.select("id", F.col("pagerank").alias("_old")), "id").agg(F.coalesce(F.sum(F.abs(F.col("pagerank") - F.col("_old"))), F.lit(0.0)).alias("c")).first()["c"]
+        if change < n * tolerance or not n:
+            break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"PageRank did not reach its tolerance in {rounds} rounds")
     return rank.select("id", "pagerank")
 
 

@@ -167,6 +167,12 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pagerank(nodes_emb(spark, sf_dir), edges_emb(spark, sf_dir), 10).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
+@query()
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the reference's tolerance, at most 100 rounds; too long for SQL, so tested against a plain loop."""
+    return G.pagerank(nodes_emb(spark, sf_dir), edges_emb(spark, sf_dir), 100, tolerance=1e-6).select("id", F.round("pagerank", 9).alias("pagerank"))
+
+
 @query(f"WITH {SQL_GRAPH}, deg AS (SELECT src AS id, count(*) AS k FROM two GROUP BY 1), tri AS (SELECT a.src AS id, count(*) / 2 AS t FROM two a JOIN two b ON b.src = a.dst JOIN two c ON c.src = b.dst AND c.dst = a.src GROUP BY 1) SELECT nodes.id, round(CASE WHEN k >= 2 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 9) AS clustering FROM nodes LEFT JOIN deg ON deg.id = nodes.id LEFT JOIN tri ON tri.id = nodes.id")
 def clustering_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.clustering(nodes_emb(spark, sf_dir), edges_emb(spark, sf_dir)).select("id", F.round("clustering", 9).alias("clustering"))
@@ -182,6 +188,12 @@ def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.k_hop(edges_emb(spark, sf_dir), nodes_emb(spark, sf_dir).where("id % 100 = 0"))
 
 
+@query(f"WITH RECURSIVE {SQL_GRAPH}, walk AS (SELECT id, 0 AS hop FROM nodes WHERE id % 20 = 0 UNION SELECT two.dst, hop + 1 FROM walk JOIN two ON two.src = walk.id WHERE hop < 2) SELECT id, min(hop)::INT AS hop FROM walk GROUP BY 1")
+def k_hop_query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the whole stated query set, as ``knn_seeds``."""
+    return G.k_hop(edges_emb(spark, sf_dir), nodes_emb(spark, sf_dir).where("id % 20 = 0"))
+
+
 @query("WITH o AS (SELECT o_custkey, count(*)::DOUBLE AS n FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, c_acctbal AS a, coalesce(n, 0) AS n FROM customer LEFT JOIN o ON o_custkey = c_custkey), e AS (SELECT min(a) AS la, max(a) AS ha, min(n) AS ln, max(n) AS hn FROM c), s AS (SELECT id, 0.5 * coalesce((a - la) / nullif(ha - la, 0), 0.5) + 0.5 * coalesce((n - ln) / nullif(hn - ln, 0), 0.5) AS x FROM c, e) SELECT id, round(x, 9) AS importance, CASE WHEN x > 0.7 THEN 'core' WHEN x > 0.4 THEN 'supporting' ELSE 'peripheral' END AS role FROM s")
 def importance_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -98,3 +98,41 @@ def test_graph_formats(spark, tmp_path):
     n, e = S.read_graph_json(spark, S.first_existing(spark, str(tmp_path / "none.json"), str(tmp_path / "g.json")))
     assert [(r["id"], r["type"]) for r in n.collect()] == [("x", "b")]
     assert {(r["dst"], r["relation"]) for r in S.with_relation(e).collect()} == {("x", "r1"), ("y", "related_to")}
+
+
+def test_pagerank_reaches_its_tolerance_and_k_hop_its_query_set(spark):
+    from docuweave.operators import graph
+    from docuweave.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    ids = [r["id"] for r in queries.nodes_emb(spark, sf).select("id").collect()]
+    edges = {(r["src"], r["dst"]) for r in queries.edges_emb(spark, sf).collect()}
+
+    def brute(ids, edges, tolerance=1e-6):
+        out = {i: [b for a, b in edges if a == i] for i in ids}
+        rank, n = dict.fromkeys(ids, 1 / len(ids)), len(ids)
+        for k in range(100):
+            new = dict.fromkeys(ids, 0.15 / n + 0.85 * sum(rank[i] for i in ids if not out[i]) / n)
+            for i in ids:
+                for j in out[i]:
+                    new[j] += 0.85 * rank[i] / len(out[i])
+            change, rank = sum(abs(new[i] - rank[i]) for i in ids), new
+            if change < n * tolerance:
+                return rank, k + 1
+        raise AssertionError
+
+    got = {r["id"]: r["pagerank"] for r in queries.pagerank_converged(spark, sf).collect()}
+    want, _ = brute(ids, edges)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-9 for i in want)
+    ring = {(0, 1), (1, 2), (2, 0), (2, 3), (3, 2), (4, 0)}
+    want, rounds = brute(range(5), ring)
+    nodes, links = spark.createDataFrame([(i,) for i in range(5)], "id long"), spark.createDataFrame(list(ring), "src long, dst long")
+    got = {r["id"]: r["pagerank"] for r in graph.pagerank(nodes, links, 100, tolerance=1e-6).collect()}
+    assert rounds > 20 and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    near = {i: set() for i in ids}
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    hop = {i: 0 for i in ids if i % 20 == 0}
+    for h in (1, 2):
+        hop |= dict.fromkeys({j for i, g in hop.items() if g == h - 1 for j in near[i]} - hop.keys(), h)
+    assert {r["id"]: r["hop"] for r in queries.k_hop_query_set(spark, sf).collect()} == hop
