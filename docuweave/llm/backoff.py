@@ -4,26 +4,34 @@ A document's score is the mean natural logarithm of S over its words, where coun
 document itself out: S(v | u) = c(u v) / c(u) if other documents have the pair, else
 ALPHA * c(v) / N, else ALPHA / (N + 1); the first word has no context and no ALPHA.
 
-Two forms give the same scores:
-
-``backoff_scores``, for pairs of words.  The table of word counts is summed by hash, and is
-broadcast, without words that occur once, if it has at most ``MAX_WORDS`` words (16 bytes each).  Each document's pairs, counted
-inside the document, go to buckets by the pair's hash; a bucket holds all rows of its pairs, so
-counting a pair and joining the count to the pair's documents is one sort there, and a very
-frequent pair has one row for each document that has it.  What a bucket finds for a document
-goes to the document's bucket, where it is summed.  Rows travel as compressed columns.
-
-``backoff_scores_joined``, for any order and any number of words: explode, count tables, joins
-and sums of DataFrames.  The first form hands over to it beyond ``MAX_WORDS``.
+``backoff_scores``, for pairs of words, explodes each document into its distinct words and pairs
+with their counts inside it, deals these rows out by the hash of their n-gram, sums the n-gram's
+count there, joins it to the rows in the same sort, and sums what they are worth by document.
+One plan serves all sizes:
+
+* The ``HOT`` commonest words and pairs of a sixteenth of the rows are counted exactly in a pass of
+  their own, and these two tables, whose size does not depend on the corpus, are broadcast.  So an
+  n-gram that very many documents have is counted by partial aggregation, joined where the document is,
+  and never gathered.  Which n-grams are hot has no say in the result.
+* A pair of hot words goes to a bucket of its own, by its hash, and brings the counts of both words.
+* Any other pair goes to the bucket of its cold word, where that word's rows from all documents meet, so that
+  the word's count is known there too.  If both words are cold the pair goes to both buckets: the
+  first word's knows what a hit is worth, the second word's what a miss is worth.
+* What a bucket finds for a document goes to the document's bucket, where it is summed.
+
+Rows travel as compressed columns: a pair takes about 6 bytes and not 40.
+
+``backoff_scores_joined``, for any order, gives the same scores with explode, count tables, joins and sums
+of DataFrames, at several times the shuffle.
 
 Defined results: null and empty texts have 0 words and a null score; repeated rows count as
-documents of their own, so each sees its copies; a null doc_id is scored like others.
+documents of their own, so each sees its copies; a null doc_id is scored like others; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +41,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small, written
+from .common import columns_of, ship, written
 
 ship(__name__)
 
 ALPHA = 0.4
-MAX_WORDS = 8_000_000
+#: Most n-grams of a length that are broadcast, the share of rows that they are picked from, and how often one must be there.
+HOT, HOT_SHARE, HOT_COUNT = 1 << 18, 16, 3
 BUCKET_ROWS = 1_500_000
 FLUSH_ROWS = 1_500_000
+#: Words that are looked at together.
+CHUNK = 250_000
+
+#: Roles of rows: a pair of hot words; a word; a pair by its cold first or second word; both, where both are cold.
+PAIR, WORD, FIRST, SECOND, BOTH_FIRST, BOTH_SECOND = range(6)
+
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -80,141 +96,257 @@ def _floats(values: np.ndarray) -> np.ndarray:
     return values.astype(np.float64).view(np.uint64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): the hash of each word and how often the corpus has it."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple]]]:
+    """Of about ``CHUNK`` words of whole documents at a time: the words' hashes, their documents' numbers from 0, and the documents.
+
+    A document is its row's values before ``column``, which holds the text, and its number of words.
+    """
+    known = _Hash()
+    words: list[int] = []
+    docs: list[tuple] = []
+
+    def out() -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        found = np.array(words, np.uint64), np.repeat(np.arange(len(docs)), [d[-1] for d in docs]), docs.copy()
+        words.clear()
+        docs.clear()
+        return found
+
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(column)]
+        for i, t in enumerate(batch.column(column)):
+            w = words_of(t.as_py())
+            words.extend(map(known.__getitem__, w))
+            docs.append((*(c[i] for c in columns), len(w)))
+            if len(words) > CHUNK:
+                yield out()
+    if docs:
+        yield out()
+
+
+def _hot_grams(docs: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest words of a share of the rows, as sorted hashes, and pairs of them, as sorted codes of two places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        for h, d, _ in _chunks(batches):
+            names, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            code, m = np.unique((at[:-1] * len(names) + at[1:])[d[:-1] == d[1:]], return_counts=True)
+            for u, v, k in ((names, np.zeros(len(names), np.uint64), n), (names[code // len(names)], names[code % len(names)], m)):
+                kind = np.full(len(u), 0 if u is names else 1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(k.astype(np.int64))], names=["kind", "u", "v", "n"])
 
-        def out() -> pa.RecordBatch:
-            h = np.array([xxhash.xxh64_intdigest(w) for w in counts], np.uint64).view(np.int64)
-            n = np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["word", "n"])
+    some = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_SHARE)) == 0).select("text")
+    counts = written(some.mapInArrow(run, "kind int, u long, v long, n long").groupBy("kind", "u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT))
+    top = [columns_of(counts.where(F.col("kind") == k).orderBy(F.desc("n"), "u", "v").limit(hot), {"u": "int64", "v": "int64"}) for k in (0, 1)]
+    words = np.sort(top[0][0].view(np.uint64))
+    u, v = (_places(words, x.view(np.uint64)) for x in top[1])
+    return words, np.sort((u << 32 | v)[(u >= 0) & (v >= 0)])
 
-        for batch in batches:
-            for t in batch.column(0):
-                counts.update(words_of(t.as_py()))
-            if len(counts) > 300_000:
-                yield out()
-        if counts:
-            yield out()
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _places(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Where the grams are in a sorted table; -1 for those that are not."""
+    if not len(table):
+        return np.full(len(grams), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, grams), len(table) - 1)
+    return np.where(table[at] == grams, at, -1)
+
 
+def _counted(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often all documents have each hot word and each hot pair, and the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
-def backoff_scores(docs: DataFrame, max_words: int = MAX_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (words, pairs), total = shared.value, 0
+        word_n, pair_n = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+        for h, d, _ in _chunks(batches):
+            total += len(h)
+            names, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            place = _places(words, names)
+            word_n[place[place >= 0]] += n[place >= 0]
+            token = place[at]
+            u, v = token[:-1], token[1:]
+            codes, n = np.unique((u << 32 | v)[(u >= 0) & (v >= 0) & (d[:-1] == d[1:])], return_counts=True)
+            place = _places(pairs, codes)
+            pair_n[place[place >= 0]] += n[place >= 0]
+        for kind, n in enumerate((word_n, pair_n)):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int64)), pa.array(n[at])], names=["kind", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["kind", "at", "n"])
+
+    kind, at, n = columns_of(docs.select("text").mapInArrow(run, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")), {"kind": "int64", "at": "int64", "n": "int64"})
+    shared.destroy()
+    out = [np.zeros(len(t), np.int64) for t in tables]
+    for k in (0, 1):
+        out[k][at[kind == k]] = n[kind == k]
+    return out[0], out[1], int(n[kind == 2].sum())
+
+
+def _grouped(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``n`` over the rows with its value."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    out = np.empty(len(v), np.int64)
+    out[order] = np.repeat(np.add.reduceat(n[order], starts), np.diff(np.r_[starts, len(v)]))
+    return out
+
+
+def backoff_scores(docs: DataFrame, hot: int = HOT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, n_words, score and n_pairs (whose context other documents share) of each (doc_id, text)."""
     spark = docs.sparkSession
-    counts = written(word_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # A word that the corpus has once is in one document: no other has it, nor any pair with it.
-    shared = counts.where("n > 1")
-    if not small(shared, max_words):
-        return backoff_scores_joined(docs, 2)
-    table = shared.toArrow()
-    hashes = table.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, number = hashes[order], table.column("n").to_numpy()[order]
-    del table, order
-    model = spark.sparkContext.broadcast((hashes, number))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tables = _hot_grams(docs, hot)
+    word_n, pair_n, total = _counted(docs, tables)
+    model = spark.sparkContext.broadcast((*tables, word_n, pair_n))
     buckets = max(64, math.ceil(total / bucket_rows))
+    log_alpha = math.log(ALPHA)
+
+    def single(others: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        return np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (vocabulary, number) = _Hash(), model.value
+        words, pairs, word_n, pair_n = model.value
         held: list[tuple] = []
         docs_held: list[tuple] = []
+        bases: list[np.ndarray] = []
+        hits_held: list[np.ndarray] = []
         rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate([h[0] for h in held] or [np.empty(0, np.uint64)])
-            cols = [np.concatenate([h[i] for h in held] or [np.empty(0, np.int64)]) for i in range(1, 5)]
-            rowkey, doc, size, base = (np.array([d[i] for d in docs_held]) for i in range(4))
-            held.clear()
-            docs_held.clear()
+            key, other, role, n, a, b, local = (np.concatenate(x) for x in zip(*held, strict=True))
+            base, hits = np.concatenate(bases), np.concatenate(hits_held)
+            rowkey, size = (np.array([d[i] for d in docs_held], np.int64) for i in (0, 2))
+            ids = np.array([0 if d[1] is None else d[1] for d in docs_held], np.int64)
+            null = np.array([d[1] is None for d in docs_held], np.uint32)
+            for x in (held, docs_held, bases, hits_held):
+                x.clear()
             with np.errstate(over="ignore"):
-                at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-            by = np.lexsort((key, at))
-            starts = np.searchsorted(at[by], np.arange(buckets + 1, dtype=np.uint64))
+                at = (((key * _MIX[0]) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            cold = role != PAIR
+            by = np.lexsort((key, at * 2 + cold))
+            starts = np.searchsorted((at * 2 + cold)[by], np.arange(2 * buckets + 1))
             high, low = _pack_wide(rowkey)
-            for b in range(buckets):
-                pick = by[starts[b] : starts[b + 1]]
-                if len(pick):
-                    used, local = np.unique(cols[3][pick], return_inverse=True)
-                    u = (key[pick] >> np.uint64(32)).astype(np.int64)
-                    main = _pack(np.diff(u, prepend=0), key[pick] & np.uint64(0xFFFFFFFF), local, cols[0][pick], cols[1][pick], cols[2][pick])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([main]), pa.array([_pack(high[used], np.diff(low[used].astype(np.int64), prepend=0) & 0xFFFFFFFF, size[used])])], names=["bucket", "kind", "main", "docs"])
+            for bucket in range(buckets):
+                first, split, last = starts[2 * bucket : 2 * bucket + 3]
+                if first == last:
+                    continue
+                used, where = np.unique(local[by[first:last]], return_inverse=True)
+                who = _pack(high[used], np.diff(low[used].astype(np.int64), prepend=0) & 0xFFFFFFFF, size[used])
+                parts = []
+                for p, q in ((first, split), (split, last)):
+                    pick = by[p:q]
+                    columns = [np.diff((key[pick] >> np.uint64(32)).astype(np.int64), prepend=0), key[pick] & np.uint64(0xFFFFFFFF), where[p - first : q - first], n[pick], a[pick], b[pick]]
+                    if p == split:
+                        columns += [other[pick] >> np.uint64(32), other[pick] & np.uint64(0xFFFFFFFF), role[pick]]
+                    parts.append(_pack(*columns) if q > p else b"")
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([parts[0]]), pa.array([parts[1]]), pa.array([who])], names=["bucket", "kind", "main", "cold", "docs"])
             home = rowkey % buckets
-            for b in np.unique(home):
-                pick = np.flatnonzero(home == b)
-                null = np.array([doc[i] is None for i in pick], dtype=np.uint32)
-                ids = np.array([0 if doc[i] is None else doc[i] for i in pick], np.int64)
-                bits = _floats(base[pick])
-                main = _pack(*_pack_wide(rowkey[pick]), *_pack_wide(ids), null, size[pick], *_pack_wide(bits.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([1], pa.int32()), pa.array([main]), pa.array([b""])], names=["bucket", "kind", "main", "docs"])
-
-        for batch in batches:
-            for rowkey, doc, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                w = words_of(text.as_py())
-                local = len(docs_held)
-                base = 0.0
-                if w:
-                    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-                    distinct, inverse, own = np.unique(h, return_inverse=True, return_counts=True)
-                    ids, others = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-                    if len(vocabulary):
-                        ids = np.minimum(np.searchsorted(vocabulary, distinct), len(vocabulary) - 1).astype(np.int64)
-                        others = np.where(vocabulary[ids] == distinct, number[ids] - own, 0)
-                    rest = total - len(w)
-                    single = np.where(others > 0, np.log(np.maximum(others, 1)) - math.log(max(rest, 1)), -math.log(rest + 1))
-                    u, v = inverse[:-1], inverse[1:]
-                    alone = (others[u] == 0) | (others[v] == 0)  # no other document can have the pair
-                    base = float(single[inverse[0]] + (single[v[alone]] + math.log(ALPHA)).sum())
-                    u, v = u[~alone], v[~alone]
-                    if len(u):
-                        pair = (ids[u].astype(np.uint64) << np.uint64(32)) | ids[v].astype(np.uint64)
-                        key, first, n = np.unique(pair, return_index=True, return_counts=True)
-                        held.append((key, n, own[u][first], own[v][first], np.full(len(key), local)))
-                        rows += len(key)
-                docs_held.append((rowkey.as_py(), doc.as_py(), len(w), base))
-                if rows > FLUSH_ROWS or len(docs_held) > 100_000:
-                    yield from out()
-                    rows = 0
+            for bucket in np.unique(home):
+                pick = np.flatnonzero(home == bucket)
+                main = _pack(*_pack_wide(rowkey[pick]), *_pack_wide(ids[pick]), null[pick], size[pick], *_pack_wide(_floats(base[pick]).view(np.int64)), hits[pick])
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int32()), pa.array([1], pa.int32()), pa.array([main]), pa.array([b""]), pa.array([b""])], names=["bucket", "kind", "main", "cold", "docs"])
+
+        for h, d, docs_here in _chunks(batches, 2):
+            count = len(docs_here)
+            rest = total - np.array([x[-1] for x in docs_here], np.int64)
+            names, at = np.unique(h, return_inverse=True)
+            place = _places(words, names)
+            # The distinct words of each document.
+            code, token, own = np.unique(d * len(names) + at, return_inverse=True, return_counts=True)
+            doc, word = code // max(1, len(names)), code % max(1, len(names))
+            hot_word = place[word] >= 0
+            others = np.where(hot_word, (word_n[place[word]] if len(words) else 0) - own, 0)
+            begins = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.empty(0, np.int64)
+            opening = np.zeros(len(code), bool)
+            opening[token[begins]] = True
+            given = opening & hot_word
+            base = np.bincount(doc[given], single(others[given], rest[doc[given]]), count)
+            lone = np.flatnonzero(~hot_word)
+            put = [(names[word[lone]], np.zeros(len(lone), np.uint64), np.full(len(lone), WORD), own[lone], opening[lone].astype(np.int64), np.zeros(len(lone), np.int64), doc[lone])]
+            # The distinct pairs of each document: a pair's first place tells its words' numbers.
+            inside = np.flatnonzero(d[:-1] == d[1:])
+            _, first, n = np.unique(token[inside] * np.int64(max(1, len(names))) + at[inside + 1], return_index=True, return_counts=True)
+            u, v = token[inside[first]], token[inside[first] + 1]
+            pd_ = doc[u]
+            hu, hv = hot_word[u], hot_word[v]
+            pu, pv = place[word[u]], place[word[v]]
+            pair = np.where(hu & hv, pu << 32 | pv, -1)
+            settled = _places(pairs, pair)
+            here = (settled >= 0) & hu & hv
+            more = pair_n[settled[here]] - n[here]
+            hit = more > 0
+            worth = np.where(hit, np.log(np.maximum(more, 1)) - np.log(np.maximum(others[u[here]], 1)), log_alpha + single(others[v[here]], rest[pd_[here]]))
+            base += np.bincount(pd_[here], worth * n[here], count)
+            hits = np.bincount(pd_[here], n[here] * hit, count).astype(np.int64)
+            far = hu & hv & ~here
+            put.append((pair[far].view(np.uint64), np.zeros(int(far.sum()), np.uint64), np.full(int(far.sum()), PAIR), n[far], others[u[far]], others[v[far]], pd_[far]))
+            for pick, keys, there, role in ((~hu & hv, u, pv, FIRST), (hu & ~hv, v, pu, SECOND), (~hu & ~hv, u, None, BOTH_FIRST), (~hu & ~hv, v, None, BOTH_SECOND)):
+                if pick.any():
+                    x, y = u[pick], v[pick]
+                    partner = there[pick].view(np.uint64) if there is not None else names[word[y if role == BOTH_FIRST else x]]
+                    a = own[x] if role in (FIRST, BOTH_FIRST) else others[x]
+                    b = own[y] if role in (SECOND, BOTH_SECOND) else others[y]
+                    put.append((names[word[keys[pick]]], partner, np.full(len(x), role), n[pick], a, b, pd_[pick]))
+            joined = [np.concatenate(x) for x in zip(*put, strict=True)]
+            joined[-1] = joined[-1] + len(docs_held)
+            held.append(tuple(joined))
+            docs_held.extend(docs_here)
+            bases.append(base)
+            hits_held.append(hits)
+            rows += len(joined[0])
+            if rows > FLUSH_ROWS or len(docs_held) > 100_000:
+                yield from out()
+                rows = 0
         if docs_held:
             yield from out()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = model.value[1]
-        log_alpha = math.log(ALPHA)
-
-        def one(payloads: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            keys, cols, rowkeys, sizes, at = [], [], [], [], 0
-            for main, who in payloads:
-                du, v, local, n, nu, nv = _unpack(main, 6)
+        def one(payloads: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            near, cold, rowkeys, sizes, at = [], [], [], [], 0
+            for main, other, who in payloads:
                 high, low, size = _unpack(who, 3)
-                keys.append((np.cumsum(du.astype(np.uint64)) << np.uint64(32)) | v)
-                cols.append(np.stack([local.astype(np.int64) + at, n, nu, nv]))
                 rowkeys.append(_wide(high, np.cumsum(low.astype(np.uint64)).astype(np.uint64) & np.uint64(0xFFFFFFFF)))
                 sizes.append(size.astype(np.int64))
+                for data, width, to in ((main, 6, near), (other, 9, cold)):
+                    if data:
+                        du, lo, local, *rest_of = _unpack(data, width)
+                        key = (np.cumsum(du.astype(np.uint64)) << np.uint64(32)) | lo
+                        to.append((key, local.astype(np.int64) + at, *(x.astype(np.int64) for x in rest_of)))
                 at += len(size)
-            key, (who, n, nu, nv) = np.concatenate(keys), np.concatenate(cols, axis=1)
             rowkey, size = np.concatenate(rowkeys), np.concatenate(sizes)
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            sums = np.repeat(np.add.reduceat(n[order], starts), np.diff(np.r_[starts, len(k)]))
-            others = np.empty(len(key), np.int64)
-            others[order] = sums
-            others -= n
-            u, v = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            hit = others > 0
-            rest = total - size[who]
-            single = number[v] - nv
-            miss = log_alpha + np.where(single > 0, np.log(np.maximum(single, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
-            value = np.where(hit, np.log(np.maximum(others, 1)) - np.log(np.maximum(number[u] - nu, 1)), miss) * n
+            whos, values, found = [], [], []
+            if near:
+                key, who, n, cu, cv = (np.concatenate(x) for x in zip(*near, strict=True))
+                others = _grouped(key, n) - n
+                hit = others > 0
+                miss = log_alpha + single(cv, total - size[who])
+                whos.append(who)
+                values.append(np.where(hit, np.log(np.maximum(others, 1)) - np.log(np.maximum(cu, 1)), miss) * n)
+                found.append(n * hit)
+            if cold:
+                key, who, n, a, b, ph, pl, role = (np.concatenate(x) for x in zip(*cold, strict=True))
+                rest = total - size[who]
+                is_word = role == WORD
+                # A word's own rows give its count to all rows of its key.
+                in_all = _grouped(key, np.where(is_word, n, 0))
+                with np.errstate(over="ignore"):
+                    pair = key * _MIX[0] ^ ((ph.astype(np.uint64) << np.uint64(32) | pl.astype(np.uint64)) + role.astype(np.uint64) * _MIX[2]) * _MIX[1]
+                others = _grouped(pair ^ (pair >> np.uint64(32)), n) - n
+                hit = (others > 0) & ~is_word
+                cu = np.where((role == FIRST) | (role == BOTH_FIRST), in_all - a, a)
+                cv = np.where((role == SECOND) | (role == BOTH_SECOND), in_all - b, b)
+                worth_hit = np.log(np.maximum(others, 1)) - np.log(np.maximum(cu, 1))
+                worth_miss = log_alpha + single(cv, rest)
+                value = np.where(hit, worth_hit, worth_miss) * n
+                value = np.where(role == BOTH_FIRST, np.where(hit, worth_hit * n, 0.0), value)
+                value = np.where(role == BOTH_SECOND, np.where(hit, 0.0, worth_miss * n), value)
+                value = np.where(is_word, np.where(a == 1, single(in_all - n, rest), 0.0), value)
+                whos.append(who)
+                values.append(value)
+                found.append(n * (hit & (role != BOTH_SECOND)))
+            who, value, hits = np.concatenate(whos), np.concatenate(values), np.concatenate(found)
             rows, inverse = np.unique(rowkey, return_inverse=True)
             part = np.bincount(inverse[who], value, len(rows))
-            hits = np.bincount(inverse[who], n * hit, len(rows)).astype(np.int64)
+            hits = np.bincount(inverse[who], hits, len(rows)).astype(np.int64)
             home = rows % buckets
             by = np.argsort(home, kind="stable")
             edges = np.searchsorted(home[by], np.arange(buckets + 1))
@@ -226,7 +358,7 @@ def backoff_scores(docs: DataFrame, max_words: int = MAX_WORDS, bucket_rows: int
 
         now, payloads = None, []
         for batch in batches:
-            for bucket, kind, main, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, kind, main, cold, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([main])], names=["home", "kind", "main"])
                     continue
@@ -234,13 +366,13 @@ def backoff_scores(docs: DataFrame, max_words: int = MAX_WORDS, bucket_rows: int
                     yield from one(payloads)
                     payloads = []
                 now = bucket
-                payloads.append((main, who))
+                payloads.append((main, cold, who))
         if payloads:
             yield from one(payloads)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(parts: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
-            base = [_unpack(m, 8) for k, m in parts if k == 1]
+            base = [_unpack(m, 9) for k, m in parts if k == 1]
             sums = [_unpack(m, 5) for k, m in parts if k == 0]
             if not base:
                 return None
@@ -249,7 +381,7 @@ def backoff_scores(docs: DataFrame, max_words: int = MAX_WORDS, bucket_rows: int
             null = np.concatenate([b[4] for b in base]).astype(bool)
             size = np.concatenate([b[5] for b in base]).astype(np.int64)
             score = np.concatenate([_wide(b[6], b[7]).view(np.float64) for b in base]).copy()
-            hits = np.zeros(len(ids), np.int64)
+            hits = np.concatenate([b[8] for b in base]).astype(np.int64)
             order = np.argsort(ids)
             for s in sums:
                 at = order[np.searchsorted(ids[order], _wide(s[0], s[1]))]
@@ -270,9 +402,9 @@ def backoff_scores(docs: DataFrame, max_words: int = MAX_WORDS, bucket_rows: int
         if parts and (out := one(parts)) is not None:
             yield out
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("rowkey"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs = keyed.mapInArrow(spread, "bucket int, kind int, main binary, docs binary")
-    weighed = pairs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(weigh, "home int, kind int, main binary")
+    keyed = docs.select(F.monotonically_increasing_id().alias("rowkey"), "doc_id", "text")
+    rows = keyed.mapInArrow(spread, "bucket int, kind int, main binary, cold binary, docs binary")
+    weighed = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(weigh, "home int, kind int, main binary")
     return weighed.repartition(buckets, "home").sortWithinPartitions("home").mapInArrow(gather, "doc_id long, n_words long, score double, n_pairs long")
 
 
@@ -287,10 +419,11 @@ def backoff_scores_joined(docs: DataFrame, order: int = 2) -> DataFrame:
     listed = rows.select("row", "doc_id", F.filter(F.split(letters, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
     sizes = listed.select("row", "doc_id", F.size("w").cast("long").alias("n_words"))
     total = sizes.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    words = listed.where(F.size("w") > 0).select("row", F.size("w").alias("size"), "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
-    gram = {k: F.when(F.col("at") >= k, F.xxhash64(F.array_join(F.slice("w", F.greatest(F.col("at") - (k - 1), F.lit(1)), k), " "))) for k in range(1, order + 1)}
-    context = {k: F.when(F.col("at") >= k, F.xxhash64(F.array_join(F.slice("w", F.greatest(F.col("at") - (k - 1), F.lit(1)), k - 1), " "))) for k in range(2, order + 1)}
-    placed = words.select("row", "size", *[gram[k].alias(f"g{k}") for k in gram], *[context[k].alias(f"c{k}") for k in context])
+    # Each place's n-grams as hashes: the words themselves are not carried along.
+    spans = {f"g{k}": (k, 0) for k in range(1, order + 1)} | {f"c{k}": (k, 1) for k in range(2, order + 1)}
+    gram = lambda i, k, less: F.when(i >= k, F.xxhash64(F.array_join(F.slice("w", F.greatest(i - (k - 1), F.lit(1)), k - less), " ")))
+    places = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(*[gram(i, *x).alias(name) for name, x in spans.items()]))
+    placed = listed.where(F.size("w") > 0).select("row", F.size("w").alias("size"), F.explode(places).alias("_g")).select("row", "size", "_g.*")
     if order > 1:
         placed = written(placed)
     own = {}

@@ -1,13 +1,16 @@
-"""Helpers that several operators share: tables, shared-folder cuts, salted ranks, UDF shipping."""
+"""Helpers that several operators share: tables, shared-folder cuts, salted ranks, bounded fits, UDF shipping."""
 
 from __future__ import annotations
 
 import atexit
 import math
+import pickle
 import sys
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +28,10 @@ ARROW_ROWS = "1000"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, for tables that hold long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Bound the Arrow batches of this session, for tables that hold long texts; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= int(ARROW_ROWS):
+        spark.conf.set(key, ARROW_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a new one only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one beside the warehouse's tables."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="docuweave-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where
+    return where or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docuweave-shared"
 
 
 _folders: set[str] = set()
@@ -87,14 +88,45 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit("docuweave"), t).alias("_k2")]
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], out: str, rows: int, first: tuple[str, ...] = (), per_task: int = 50_000) -> DataFrame:
+def columns_of(df: DataFrame, kinds: dict[str, str]) -> list[np.ndarray]:
+    """A small table's columns as arrays, collected by Arrow: no row objects on the driver."""
+    table = df.select(*kinds).toArrow()
+    return [table.column(c).to_numpy(zero_copy_only=False).astype(k) for c, k in kinds.items()] if table.num_rows else [np.empty(0, k) for k in kinds.values()]
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """Run ``fit`` over the rows of a bounded sample in one task of an executor; only what it returns comes to the driver.
+
+    The caller bounds the sample, by rows and by bytes a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            rows.extend(batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])  # noqa: S301  our own bytes
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], flag: str) -> DataFrame:
+    """Inner join that broadcasts the rows of ``right`` whose ``flag`` is true, of proven few, and shuffles the others.
+
+    Both sides have the boolean ``flag``, equal for equal keys.
+    """
+    hot = left.where(flag).drop(flag).join(F.broadcast(right.where(flag).drop(flag)), on)
+    return hot.unionByName(left.where(f"not {flag}").drop(flag).join(right.where(f"not {flag}").drop(flag), on))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], out: str, rows: int, first: tuple[str, ...] = (), per_task: int = 200_000) -> DataFrame:
     """Add a gapless rank from 0 within the keys ``by`` without gathering a key in one task.
 
     Each key is dealt over ``rows / per_task`` salts; ranks run inside a salt and are shifted by
     the sizes of the salts before it, so they follow ``order`` inside a salt only.  The columns
     ``first``, of few values, order the salts themselves.  The table of shifts has keys x values
-    x salts rows, where salts are at most rows / per_task + 8, and is broadcast.  ``df`` is read
-    twice: pass a written table.
+    x salts rows, where salts are at most rows / per_task + 8; the join with it reuses the
+    ranks' partitions, or broadcasts it if Spark finds it small enough.  ``df`` is read twice: pass a written table.
     Repeated rows get distinct ranks in any order; they are alike, so the result is the same.
     """
     n = max(8, math.ceil(rows / per_task))
@@ -108,6 +140,6 @@ def ranked(df: DataFrame, by: list[str], order: list[str], out: str, rows: int,
     for c in on[1:]:
         cond = cond & c
     left = salted.withColumn("_inside", inside).alias("a")
-    joined = left.join(F.broadcast(shifts).alias("b"), cond)
+    joined = left.join(shifts.alias("b"), cond)
     keep = [F.col(f"a.{c}") for c in df.columns]
     return joined.select(*keep, (F.col("a._inside") - 1 + F.col("b._shift")).cast("long").alias(out))
