@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import pickle
 import sys
@@ -47,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
 _folders: set[str] = set()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of what finished rounds of a loop left: shuffle files, broadcasts and plans.
+
+    Spark drops them when the driver's garbage is collected, which a driver with few rows of its own
+    seldom does by itself; its memory grows meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back.
 

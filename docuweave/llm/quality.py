@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, ship
+from .common import crc, fitted, ship
 
 ship(__name__)
 
@@ -35,24 +35,30 @@ MAX_ROWS = 1500
 MAX_BYTES = 65_536
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, holdout: bool = True) -> list[tuple[int, str, int]]:
-    """At most ``max_rows`` rows (doc_id, text, label) of each class, in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, holdout: bool = True) -> DataFrame:
+    """At most ``max_rows`` rows (doc_id, text, y) of each class, the first in the order of a hash of the id.
 
     ``holdout`` leaves out the fifth of the ids whose CRC-32 is divisible by 5.  The ids are
     picked from the labels, so that only the picked texts leave the document scan.
     """
-    ids = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull())
+    ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     if holdout:
         ids = ids.where(F.pmod(crc("doc_id"), F.lit(5)) != 0)
-    ids = ids.groupBy("doc_id").agg(F.min("_y").alias("_y"))
+    ids = ids.groupBy("doc_id").agg(F.min("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = None
     for y in (0, 1):
-        part = ids.where(F.col("_y") == y).orderBy(*order).limit(max_rows)
+        part = ids.where(F.col("y") == y).orderBy(*order).limit(max_rows)
         picked = part if picked is None else picked.unionByName(part)
     known = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    rows = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y")).collect()
-    return sorted((r["doc_id"], r["text"], r["_y"]) for r in rows)
+    return known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+
+
+def class_shares(labels: DataFrame, label: str) -> tuple[float, float]:
+    """The shares of 0 and 1 among all labels that may teach."""
+    counts = {r["y"]: r["n"] for r in labels.where(F.pmod(crc("doc_id"), F.lit(5)) != 0).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = max(1, counts.get(0, 0) + counts.get(1, 0))
+    return counts.get(0, 0) / n, counts.get(1, 0) / n
 
 
 def blocks(data: bytes, size: int = BLOCK) -> list[bytes]:
@@ -147,10 +153,9 @@ def score_column(text: Column, model: dict) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
-    """Fit on a bounded sample of the labelled rows; the classes' shares come from all labels."""
-    counts = {r["y"]: r["n"] for r in labels.where(F.pmod(crc("doc_id"), F.lit(5)) != 0).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = max(1, counts.get(0, 0) + counts.get(1, 0))
-    return fit(labelled_sample(docs, labels, label), (counts.get(0, 0) / n, counts.get(1, 0) / n))
+    """Fit on a bounded sample of the labelled rows, in one task; the classes' shares come from all labels."""
+    shares = class_shares(labels, label)
+    return fitted(labelled_sample(docs, labels, label), lambda rows: fit(sorted((r["doc_id"], r["text"], r["y"]) for r in rows), shares))
 
 
 def with_quality(docs: DataFrame, model: dict, score: str = "score") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff, jaccard, latent, matroska, packing, quality, sharding, styletree, toxicity, urls
@@ -12,11 +12,16 @@ from .common import crc, table, tune
 GOOD = 0.3
 
 
+def held_out() -> Column:
+    """Whether a row may not teach: the CRC-32 of its id is divisible by 5; a row without id teaches nothing and is not held out."""
+    return F.coalesce(F.pmod(crc("doc_id"), F.lit(5)) == 0, F.lit(False)).alias("held_out")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents")
     scored = quality.with_quality(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (F.pmod(crc("doc_id"), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.with_toxicity(docs.select("doc_id", "text"), model, "chain")
     last = F.col("chain")[model["names"][-1]]
     links = F.array(*[F.col("chain")[n] for n in model["names"][:-1]]).cast("array<double>")
-    return scored.select("doc_id", (F.pmod(crc("doc_id"), F.lit(5)) == 0).alias("held_out"), last.alias("score"), (last >= model["threshold"]).cast("int").alias("predicted"), links.alias("categories"))
+    return scored.select("doc_id", held_out(), last.alias("score"), (last >= model["threshold"]).cast("int").alias("predicted"), links.alias("categories"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_url_filter, op4_jaccard_join, op4_jaccard_links, op5_length_buckets, op6_backoff_scores, op7_decontamination, op8_matroska, op9_sharding, op10_toxicity)}

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc, ship
-from .quality import labelled_sample
+from .common import fitted, ship
+from .quality import class_shares, labelled_sample
 
 ship(__name__)
 
@@ -205,16 +205,13 @@ def _threshold(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float(np.median(cuts[f1 >= f1.max() - 1e-12]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
-    """Fit on a bounded sample of the labelled rows; the classes' shares come from all labels."""
-    sample = labelled_sample(docs, labels, label, MAX_ROWS, MAX_BYTES)
-    y = np.array([k for _, _, k in sample], dtype=int)
+def fit(rows: list[tuple[int, str, int]], label: str, shares: tuple[float, float]) -> dict:
+    """The chain for a sample of (doc_id, text, y); ``shares`` are the classes' shares among all labels."""
+    y = np.array([k for _, _, k in rows], dtype=int)
     if len(set(y.tolist())) < 2 or min(y.sum(), len(y) - y.sum()) < 4:
         return {"names": [label], "constant": float((y.sum() + 1) / (len(y) + 2)), "threshold": 0.5}
-    counts = {r["y"]: r["n"] for r in labels.where(F.pmod(crc("doc_id"), F.lit(5)) != 0).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = np.where(y == 1, counts.get(1, 1) / y.sum(), counts.get(0, 1) / (len(y) - y.sum()))
-    sets, features = encoded([t for _, t, _ in sample])
-    del sample
+    weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
+    sets, features = encoded([t for _, t, _ in rows])
     found = telling(sets, y, len(features), 400)
     pos, neg = _counts(sets, y, len(features))
     commoner = found[(pos / y.sum() > neg / (len(y) - y.sum()))[found]]
@@ -223,6 +220,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     return fit_chain(sets, features, chain | {label: y}, weight / weight.mean())
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
+    """Fit on a bounded sample of the labelled rows, in one task; the classes' shares come from all labels."""
+    shares = class_shares(labels, label)
+    sample = labelled_sample(docs, labels, label, MAX_ROWS, MAX_BYTES)
+    return fitted(sample, lambda rows: fit(sorted((r["doc_id"], r["text"], r["y"]) for r in rows), label, shares))
+
+
 def chain_column(text: Column, model: dict) -> Column:
     """A struct with the probability of every link, in the chain's order."""
     names = model["names"]
