@@ -17,7 +17,8 @@ host's list of telling nodes, which was joined to it; that list is broadcast onl
 at most ``MAX_BROADCAST`` nodes in all, and joined by host otherwise.
 
 Defined results: null and empty html give the empty text; markup that is cut off or badly nested
-is read as far as it goes; a host's only page, and a page without host, has the markup's word
+is read as far as it goes (a script or style without end is code up to the end of the page, other raw elements without end stop at
+the next tag, and a drawing or formula stops where a block begins); a host's only page, and a page without host, has the markup's word
 alone; repeated pages count like other pages; extra columns are ignored.
 """
 
@@ -47,7 +48,11 @@ MAX_BROADCAST = 200_000
 
 #: Fixed values of HTML: elements without content, with raw text, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template".split())
+#: Of these the rest of the page is content if no end tag comes; others then end at the next tag.
+CODE = frozenset(("script", "style"))
+#: Drawings and formulas nest by rules of their own: a block's start tag ends them.
+FOREIGN = frozenset(("svg", "math"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -56,7 +61,9 @@ _GROUPS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 #: What element names and words of class and id say.
-DOWN_TAGS = frozenset("nav footer aside form menu dialog button select label input head".split())
+DOWN_TAGS = frozenset("nav footer aside form menu dialog button select label input head svg".split())
+#: Elements that hold running text: a class word makes these doubtful, but does not drop them by itself.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption span a b i em strong code q cite small sub sup time u s mark abbr".split())
 DOWN_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget widgets cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar skip".split()
 )
@@ -99,6 +106,7 @@ def parse(source: str | None) -> tuple[list[Block], list[Element]]:
     root.path = ""
     stack, elements, out, buffer = [root], [], [], []
     data, at, end = source or "", 0, len(source or "")
+    drawn = "<svg" in data or "<SVG" in data or "<Svg" in data
 
     def flush() -> None:
         if buffer:
@@ -111,7 +119,7 @@ def parse(source: str | None) -> tuple[list[Block], list[Element]]:
         lt = data.find("<", at)
         if lt < 0:
             lt = end
-        if lt > at:
+        if lt > at and not (drawn and any(e.tag == "svg" for e in stack)):
             piece = data[at:lt]
             buffer.append(html_lib.unescape(piece) if "&" in piece else piece)
         if lt >= end:
@@ -140,13 +148,13 @@ def parse(source: str | None) -> tuple[list[Block], list[Element]]:
             buffer.append(" ")
             continue
         if tag in RAW:
-            stop = re.compile("</" + re.escape(tag) + r"(?=[\s/>]|\Z)", re.I).search(data, at)
-            at = stop.start() if stop else end
-            close = data.find(">", at)
-            at = end if close < 0 else close + 1
+            at = _after_raw(data, tag, at, bool(m[3]) and m[3].endswith("/"))
             continue
         if tag in BLOCK:
             flush()
+            outer = next((i for i, e in enumerate(stack) if e.tag in FOREIGN), 0)
+            if outer:
+                del stack[outer:]
             for closes in ({"p"}, _GROUPS.get(tag, ())):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in closes:
@@ -169,6 +177,24 @@ def parse(source: str | None) -> tuple[list[Block], list[Element]]:
     return out, elements
 
 
+def _after_raw(data: str, tag: str, at: int, closed: bool) -> int:
+    """Where the content of a raw element that begins at ``at`` is over, its end tag included.
+
+    One that closes itself is empty, unless an end tag comes before the next such element.
+    """
+    name = re.escape(tag) + r"(?=[\s/>]|\Z)"
+    stop = re.compile("</" + name, re.I).search(data, at)
+    if closed:
+        again = re.compile("<" + name, re.I).search(data, at)
+        if not stop or again and again.start() < stop.start():
+            return at
+    if stop:
+        close = data.find(">", stop.end())
+        return len(data) if close < 0 else close + 1
+    following = -1 if tag in CODE else data.find("<", at)
+    return len(data) if following < 0 else following
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
@@ -211,15 +237,20 @@ def wrappers(blocks: list[Block]) -> set[int]:
 
 
 def prior(chain: tuple, has_article: bool, plain: set[int] | frozenset[int] = frozenset()) -> float | None:
-    """How the markup shifts a block, by being in an article or not; None where its lowest branch is marked down."""
-    inside = False
+    """How the markup shifts a block, by being in an article or not; None where a branch of it is marked down.
+
+    Class words of elements that hold running text are evidence alone, which entropy can overrule.
+    """
+    inside = doubtful = False
     for e in chain:
         words = frozenset() if id(e) in plain else set(e.words)
         if e.tag in UP_TAGS or "main" in words and e.tag == "div" or words & UP_WORDS:
             inside = True
-        if e.tag in DOWN_TAGS or words & DOWN_WORDS or (not inside and (e.tag == "header" or words & HEAD_WORDS)):
+        if e.tag in TEXT_LEVEL:
+            doubtful = doubtful or bool(words & (DOWN_WORDS | HEAD_WORDS))
+        elif e.tag in DOWN_TAGS or words & DOWN_WORDS or (not inside and (e.tag == "header" or words & HEAD_WORDS)):
             return None
-    return UP if inside else (OUTSIDE if has_article else 0.0)
+    return (UP if inside else (OUTSIDE if has_article else 0.0)) + (OUTSIDE if doubtful else 0.0)
 
 
 def extract(source: str | None, known: dict[int, float] | None = None) -> str:
