@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, text_key, written
+from .common import hot_join, ranked, text_key, written
 
 SHARDS = 24
 
@@ -33,30 +33,38 @@ def propagate(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     ``key`` is unique, ``tie`` is a hash of the document that orders and places it, and a null
     ``hub`` has no links.  Linked documents never exceed a shard's quota of rows / shards.
     """
-    quota = max(1, math.ceil(nodes.count() / shards))
+    rows = nodes.count()
+    quota = max(1, math.ceil(rows / shards))
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("tie"), F.lit(shards)).cast("int"))
-    shared = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("hub is not null and _n > 1").select("hub")
-    linked = written(placed.join(shared, "hub", "left_semi"))
-    alone = placed.join(shared, "hub", "left_anti").withColumn("_linked", F.lit(0))
+    sizes = written(placed.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    # Hubs with a thousandth of all rows are at most a thousand: what belongs to them is joined by broadcast.
+    limit = max(1000, rows // 1000)
+    hot = F.broadcast(sizes.where(F.col("_n") >= limit).select("hub", F.lit(True).alias("_hot")))
+    marked = placed.join(hot, "hub", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    shared = sizes.where(F.col("_n") < limit).select("hub", F.lit(True).alias("_shared"))
+    cool = marked.where("not _hot").join(shared, "hub", "left")
+    known = written(cool.unionByName(marked.where("_hot").withColumn("_shared", F.lit(True))))
+    linked = known.where("_shared").drop("_shared")
+    alone = known.where("_shared is null").select(*placed.columns).withColumn("_linked", F.lit(0))
     # Rows only go from a hub's smaller shards to one as large or larger, and each asked shard has room, so
     # every round raises the sum of squares of the hubs' counts: the loop ends.
     while True:
         held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         room = {s: max(0, quota - held.get(s, 0)) for s in range(shards)}
-        counts = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("_c"))
+        counts = linked.groupBy("hub", "shard", "_hot").agg(F.count(F.lit(1)).alias("_c"))
         open_to = counts.where(F.col("shard").isin([s for s in room if room[s]]))
         best = open_to.groupBy("hub").agg(F.max_by("shard", F.struct("_c", -F.col("shard"))).alias("_to"), F.max("_c").alias("_most"))
         gains = counts.join(best, "hub").where((F.col("_to") != F.col("shard")) & (F.col("_most") >= F.col("_c")))
-        gains = gains.select("hub", "shard", "_to", (F.col("_c") - F.col("_most")).alias("_order"))
-        moves = written(linked.join(gains, ["hub", "shard"]).select("key", "tie", "_to", "_order"))
+        gains = written(gains.select("hub", "shard", "_hot", "_to", (F.col("_c") - F.col("_most")).alias("_order")))
+        moves = written(hot_join(linked, gains, ["hub", "shard"], "_hot").select("key", "tie", "_to", "_order"))
         asked = moves.count()
         if not asked:
             break
-        limit = _by_shard("_to", room)
-        accepted = ranked(moves.withColumn("_order", F.greatest("_order", F.lit(-16))), ["_to"], ["tie", "key"], "_rank", asked, ("_order",)).where(F.col("_rank") < limit)
-        linked = linked.join(accepted.select("key", "_to"), "key", "left").withColumn("shard", F.coalesce("_to", "shard"))
-        linked = written(linked.select(*placed.columns))
-    return alone.unionByName(linked.withColumn("_linked", F.lit(1)))
+        limit_of = _by_shard("_to", room)
+        accepted = ranked(moves.withColumn("_order", F.greatest("_order", F.lit(-16))), ["_to"], ["tie", "key"], "_rank", asked, ("_order",)).where(F.col("_rank") < limit_of)
+        moved = linked.join(accepted.select("key", "_to"), "key", "left").withColumn("shard", F.coalesce("_to", "shard"))
+        linked = written(moved.select(*placed.columns, "_hot"))
+    return alone.unionByName(linked.select(*placed.columns).withColumn("_linked", F.lit(1)))
 
 
 def _by_shard(column: str, values: dict[int, int]) -> Column:
