@@ -35,7 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return latent.with_hits(docs, table(spark, sf_dir, "benchmark"), "_hits").where(F.size("_hits") == 0).drop("_hits")
+    hits = "__docuweave_hits"
+    return latent.with_hits(docs, table(spark, sf_dir, "benchmark"), hits).where(F.size(hits) == 0).drop(hits)
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
