@@ -9,12 +9,13 @@ GENERIC = ("related_to", "semantically_related")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder, so that loops keep a short lineage and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
+    """A checkpoint in the shared folder, so that loops keep a short lineage and survive lost executors.
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docuweave-"))
+    The folder is ``spark.checkpoint.dir``; where that is unset, one beside the warehouse's tables.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docuweave-shared")
     return df.checkpoint()
 
 
@@ -26,21 +27,36 @@ def first_per_key(rows: DataFrame, key: list, order: str) -> DataFrame:
 
 
 def merge_nodes(mentions: DataFrame) -> DataFrame:
-    """(name, canonical, type, doc, ord) to one node each: first type, mentions, documents (a bag), aliases."""
+    """(name, canonical, type, doc, ord) to one node each: first type, mentions, documents (a bag), aliases.
+
+    With the columns ``description`` and ``confidence`` also the description of the highest confidence, the first of equals.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "doc"))), lambda x: x["doc"])
+    more = []
+    if "description" in mentions.columns:
+        sure = F.coalesce("confidence", F.lit(0.0)) if "confidence" in mentions.columns else F.lit(0.0)
+        more = [F.max_by("description", F.struct(sure, -F.col("ord"))).alias("description")]
     return mentions.groupBy(F.col("canonical").alias("id")).agg(
         F.min_by("type", "ord").alias("type"),
         F.count(F.lit(1)).alias("mentions"),
         ordered.alias("documents"),
         F.array_sort(F.collect_set("name")).alias("aliases"),
+        *more,
     )
 
 
 def merge_edges(relations: DataFrame) -> DataFrame:
-    """(src, dst, relation, doc, confidence, ord) to one edge each; self-loops stay."""
-    return relations.groupBy("src", "dst").agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "relation"))), lambda x: x["relation"])).alias("relations"),
-        F.count(F.lit(1)).alias("mentions"),
+    """(src, dst, relation, doc, confidence, ord) to one edge each; self-loops stay.
+
+    ``relations`` are distinct, in the order of their first mention; ``sources`` are the documents of all
+    mentions in order.  Relations are reduced to one row each before any list is made.
+    """
+    per = relations.groupBy("src", "dst", "relation").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.collect_list(F.struct("ord", "doc")).alias("docs"))
+    in_order = lambda c, field: F.transform(F.array_sort(c), lambda x: x[field])
+    return per.groupBy("src", "dst").agg(
+        in_order(F.collect_list(F.struct("ord", "relation")), "relation").alias("relations"),
+        F.sum("n").alias("mentions"),
+        in_order(F.flatten(F.collect_list("docs")), "doc").alias("sources"),
         F.max("confidence").alias("confidence"),
     )
 
@@ -71,16 +87,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return u.unionByName(u.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
-    """Power iteration with uniform dangling mass: a fixed number of rounds, or, with a tolerance, until the L1 change is below nodes * tolerance.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
+    """Power iteration with uniform dangling mass until the L1 change is below nodes * tolerance; all rounds if that is None.
 
-    If ``rounds`` do not reach the tolerance, that is an error.
+    If ``rounds`` do not reach the tolerance, that is an error.  Edges to ids that are no nodes are left out,
+    so that no mass is lost; no nodes give no rows.
     """
     n = nodes.count()
-    links = cut(edges.select("src", "dst").distinct())
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("pagerank"))
+    links = cut(keep_known(edges.select("src", "dst").distinct(), nodes))
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     base = cut(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left"))
-    rank = base.select("id", "deg", F.lit(1.0 / max(n, 1)).alias("pagerank"))
+    rank = base.select("id", "deg", F.lit(1.0 / n).alias("pagerank"))
     for k in range(rounds):
         dangling = rank.where("deg is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("d")).first()["d"]
         flow = links.join(rank.select(F.col("id").alias("src"), (F.col("pagerank") / F.col("deg")).alias("f")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("f").alias("f"))
@@ -91,7 +110,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
             continue
         rank = cut(rank)
         change = rank.join(old.select("id", F.col("pagerank").alias("_old")), "id").agg(F.coalesce(F.sum(F.abs(F.col("pagerank") - F.col("_old"))), F.lit(0.0)).alias("c")).first()["c"]
-        if change < n * tolerance or not n:
+        if change < n * tolerance:
             break
     else:
         if tolerance is not None:
@@ -146,8 +165,12 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")), F.lit(0.5)).alias(c) for c in columns])
 
 
-def relation_types(edges: DataFrame, types: DataFrame) -> DataFrame:
-    """Type generic relations by the types and names of their ends: ordered rules, first that fits."""
+def relation_types(edges: DataFrame, types: DataFrame, strict_reference: bool = True) -> DataFrame:
+    """Type generic relations by the types and names of their ends: ordered rules, first that fits.
+
+    A missing ``relation`` is generic; if not ``strict_reference``, the first of ``relations`` stands in for it.
+    """
+    # The rules' words and verbs.
     s, t = F.lower("src_type"), F.lower("dst_type")
     has = lambda c, *words: F.greatest(*[c.contains(w).cast("int") for w in words], F.lit(0)) == 1
     model = has(s, "model", "architecture")
@@ -160,15 +183,16 @@ def relation_types(edges: DataFrame, types: DataFrame) -> DataFrame:
         .when(has(t, "dataset"), "evaluated_on")
         .when(has(t, "architecture") & has(sn, "extends", "based"), "extends")
         .when(has(t, "architecture"), "uses")
-        .when(has(s, "person", "author") | has(t, "person", "author"), "authored_by")
-        .when(has(s, "component") | has(t, "component"), "part_of")
+        .when(has(t, "person", "author"), "authored_by")
+        .when(has(t, "component"), "part_of")
         .when(has(t, "method", "technique"), "uses")
         .when(family & has(tn, "attention", "encoder", "decoder"), "uses")
         .when(family & has(tn, "imagenet", "coco", "wikipedia"), "trained_on")
     )
     end = lambda c: types.select(F.col("id").alias(c), F.col("type").alias(f"{c}_type"))
     typed = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
-    was = F.coalesce("relation", F.lit("related_to"))
+    first = F.lit(None) if strict_reference or "relations" not in edges.columns else F.get("relations", F.lit(0))
+    was = F.coalesce("relation", first, F.lit("related_to"))
     typed = typed.withColumns({"src_type": F.coalesce("src_type", F.lit("")), "dst_type": F.coalesce("dst_type", F.lit(""))})
     return typed.withColumn("relation", F.when(was.isin(*GENERIC), F.coalesce(rule, was)).otherwise(was)).select(*edges.columns)
 
@@ -179,15 +203,22 @@ def fill_confidence(edges: DataFrame) -> DataFrame:
     return edges.withColumn("confidence", F.coalesce("confidence", fill))
 
 
-def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Newman's modularity of (src, dst, weight) under (id, cluster): one row."""
-    c = lambda end: clusters.select(F.col("id").alias(end), F.col("cluster").alias(f"c_{end}"))
-    e = edges.join(c("src"), "src").join(c("dst"), "dst")
+def modularity(edges: DataFrame, clusters: DataFrame, noise: bool = True) -> DataFrame:
+    """Newman's modularity of (src, dst, weight) under (id, cluster): one row.
+
+    Reciprocal edges count once, with the weight of the one from the lower id.  Without ``noise`` nodes of
+    cluster -1 and their edges are left out; with it they are one community.  No weight gives 0.
+    """
+    known = clusters if noise else clusters.where("cluster >= 0")
+    c = lambda end: known.select(F.col("id").alias(end), F.col("cluster").alias(f"c_{end}"))
+    once = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min_by(F.col("weight").cast("double"), F.col("src") > F.col("dst")).alias("weight"))
+    e = once.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").join(c("src"), "src").join(c("dst"), "dst")
     m = e.agg(F.sum("weight").alias("m"))
-    inside = e.where("c_src = c_dst").groupBy(F.col("c_src").alias("c")).agg(F.sum("weight").alias("i"))
-    deg = e.select(F.explode(F.array("c_src", "c_dst")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("d"))
-    rows = deg.join(inside, "c", "left").join(F.broadcast(m))  # one row
-    return rows.agg(F.coalesce(F.sum(F.coalesce("i", F.lit(0.0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), F.lit(2.0))), F.lit(0.0)).alias("modularity"))
+    ends = e.select(F.explode(F.array(F.struct(F.col("c_src").alias("c"), F.when(F.col("c_src") == F.col("c_dst"), F.col("weight")).otherwise(0.0).alias("i")), F.struct(F.col("c_dst").alias("c"), F.lit(0.0).alias("i")))).alias("x"), "weight")
+    per = ends.groupBy("x.c").agg(F.sum("x.i").alias("i"), F.sum("weight").alias("d"))
+    rows = per.join(F.broadcast(m))  # one row
+    term = F.try_divide(F.col("i"), F.col("m")) - F.pow(F.try_divide(F.col("d"), 2 * F.col("m")), F.lit(2.0))
+    return rows.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("modularity"))
 
 
 def capped_edges(pairs: DataFrame, existing: DataFrame, quota: int = 5) -> DataFrame:

@@ -61,13 +61,114 @@ def chains(best: DataFrame, edges: DataFrame, entities: int = 10, each: int = 3)
     return best.where(F.col("rank") <= entities).select("query", "rank", "id").join(own, "id").select("query", "rank", "n", F.col("id").alias("src"), "relation", "dst")
 
 
+def neighbour_relations(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query, id, way, n, other, relation): what is listed with a reached row, ``out`` and ``in``.
+
+    A neighbour is listed with a row if it was not yet visited when the row was: it arrived later, or never.
+    ``reached`` is what ``expand`` gives.
+    """
+    at = reached.select("query", "id", "hop", "key")
+    out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.coalesce("relation", F.lit("related_to")).alias("relation"), F.lit("out").alias("way"), "ord")
+    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.coalesce("relation", F.lit("related_to")).alias("relation"), F.lit("in").alias("way"), "ord")
+    rows = at.join(out.unionByName(back).where("id <> other"), "id")
+    later = at.select("query", F.col("id").alias("other"), F.struct("hop", "key").alias("_then"))
+    rows = rows.join(later, ["query", "other"], "left").where(F.col("_then").isNull() | (F.col("_then") > F.struct("hop", "key")))
+    n = F.row_number().over(Window.partitionBy("query", "id", "way").orderBy("ord"))
+    return rows.withColumn("n", n).select("query", "id", "way", "n", "other", "relation")
+
+
+def chains_of(best: DataFrame, listed: DataFrame, entities: int = 10, each: int = 3) -> DataFrame:
+    """(query, rank, n, src, relation, dst): the first listed out relations of each query's best entities."""
+    own = listed.where((F.col("way") == "out") & (F.col("n") <= each))
+    return best.where(F.col("rank") <= entities).select("query", "rank", "id").join(own, ["query", "id"]).select("query", "rank", "n", F.col("id").alias("src"), "relation", F.col("other").alias("dst"))
+
+
 def context(best: DataFrame, relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query, text): five entities with score and description, then ten relations."""
+    """(query, text): the context for a reader: five entities with score and description, then ten relations.
+
+    ``best`` has (query, id, rank, score), ``relations`` what ``chains`` gives, ``nodes`` (id, description).
+    """
+    # The template's headings and marks.
     e = best.where("rank <= 5").join(nodes.select("id", "description"), "id", "left")
-    a = e.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", F.format_string("- %s (%.2f): %s", F.col("id").cast("string"), "score", F.substring(F.coalesce("description", F.lit("")), 1, 100)).alias("line")))).alias("a"))
-    r = relations.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "n", F.format_string("- %s %s %s", F.col("src").cast("string"), "relation", F.col("dst").cast("string")).alias("line")))), 1, 10).alias("b"))
-    lines = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: x["line"])
-    return a.join(r, "query", "left").select("query", F.concat_ws("\n", F.lit("Entities:"), F.array_join(lines(F.col("a")), "\n"), F.lit("Relations:"), F.array_join(lines(F.col("b")), "\n")).alias("text"))
+    desc = F.substring(F.coalesce("description", F.lit("")), 1, 100)
+    line = F.concat(F.format_string("%d. **%s** (score: %.2f)", F.col("rank").cast("long"), F.col("id").cast("string"), "score"), F.when(desc != "", F.concat(F.lit("\n   - "), desc)).otherwise(""))
+    lines = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda x: x["line"]), "\n")
+    a = e.groupBy("query").agg(lines(F.collect_list(F.struct("rank", line.alias("line")))).alias("a"))
+    rel = F.format_string("- %s \u2192 *%s* \u2192 %s", F.col("src").cast("string"), "relation", F.col("dst").cast("string"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank", "n"))
+    r = relations.withColumn("p", place).where("p <= 10").groupBy("query").agg(lines(F.collect_list(F.struct("p", rel.alias("line")))).alias("b"))
+    head = F.lit("## Retrieved Knowledge Context\n\n### Key Entities (ranked by relevance)\n")
+    return a.join(r, "query", "left").select("query", F.concat(head, F.col("a"), F.when(F.col("b").isNotNull(), F.concat(F.lit("\n\n### Relationships\n"), F.col("b"))).otherwise("")).alias("text"))
+
+
+def graph_retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame, nodes: DataFrame, max_hops: int = 2, seed_count: int = 5, max_results: int = 20) -> dict[str, DataFrame]:
+    """The graph-aware retrieval of a table of queries (id, vector): seeds, entities, listed relations, chains and context."""
+    from .vectors import nearest
+
+    seeds = cut(nearest(queries, vectors, seed_count))
+    reached = cut(expand(seeds, edges, max_hops))
+    best = cut(score(reached, queries, nodes, max_results))
+    listed = cut(neighbour_relations(reached, edges))
+    links = chains_of(best, listed)
+    return {"seeds": seeds, "entities": best, "relations": listed, "chains": links, "context": context(best, links, nodes)}
+
+
+def answer_context(found: dict[str, DataFrame], entities: int = 10, relations: int = 15) -> DataFrame:
+    """(query, entities, relationships, text_context): the first entities and chains in order, and the text."""
+    e = found["entities"].where(F.col("rank") <= entities).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id")))), lambda x: x["id"]).alias("entities"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank", "n"))
+    rel = F.concat_ws(" ", F.col("src").cast("string"), "relation", F.col("dst").cast("string"))
+    r = found["chains"].withColumn("p", place).where(F.col("p") <= relations).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", rel.alias("t")))), lambda x: x["t"]).alias("relationships"))
+    return e.join(r, "query", "left").join(found["context"], "query").select("query", "entities", F.coalesce("relationships", F.array().cast("array<string>")).alias("relationships"), F.col("text").alias("text_context"))
+
+
+def retrieve(queries: DataFrame, tree: DataFrame, mode: str = "tree_traversal", beam: int = 3, least: float = 0.3) -> DataFrame:
+    """By name of the mode: ``collapsed``, ``adaptive``, or the traversal for any other."""
+    if mode == "collapsed":
+        return collapsed(queries, tree, beam, least)
+    return adaptive(queries, tree, beam, least) if mode == "adaptive" else traverse(queries, tree, beam, least)
+
+
+def traversal_summary(path: DataFrame, queries: DataFrame, tree: DataFrame, most: int = 20) -> DataFrame:
+    """(query, topics, entities, avg_similarity): what a traversal returns, from ``traverse`` and a tree with ``key_entities``.
+
+    Leaves give topics and, in the order of the path, their distinct entities; the average is over the whole path, 0 without any.
+    """
+    rows = path.join(tree.select("id", "name", "key_entities", "ord"), "id")
+    order = F.struct("step", (-F.col("sim")).alias("s"), (-F.col("ord")).alias("o"), F.when(F.col("level") == 0, F.col("name")).alias("name"), F.when(F.col("level") == 0, F.col("key_entities")).alias("e"))
+    per = rows.groupBy("query").agg(F.array_sort(F.collect_list(order)).alias("p"), F.avg("sim").alias("avg"))
+    topics = F.filter(F.transform("p", lambda x: x["name"]), lambda x: x.isNotNull())
+    found = F.slice(F.array_distinct(F.flatten(F.filter(F.transform("p", lambda x: x["e"]), lambda x: x.isNotNull()))), 1, most)
+    none = F.array().cast("array<string>")
+    out = queries.select(F.col("id").alias("query")).join(per, "query", "left")
+    return out.select("query", F.coalesce(topics, none).alias("topics"), F.coalesce(found, none).alias("entities"), F.coalesce("avg", F.lit(0.0)).alias("avg_similarity"))
+
+
+def explain(path: DataFrame, summary: DataFrame, tree: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, text): the walk in words; a query without a path gets a fixed sentence.  ``texts`` has (query, asked)."""
+    # The sentences.
+    step = F.concat(F.lit("  Level "), F.col("level").cast("string"), F.lit(": "), F.col("name"), F.format_string(" (similarity: %.2f)", "sim"))
+    rows = path.join(tree.select("id", "name", "ord"), "id")
+    walk = rows.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", (-F.col("sim")).alias("s"), (-F.col("ord")).alias("o"), step.alias("line")))), lambda x: x["line"]), "\n").alias("walk"))
+    out = summary.join(texts, "query").join(walk, "query", "left")
+    text = F.concat(F.lit('Query: "'), "asked", F.lit('"\n\nRetrieval Path:\n'), "walk", F.lit("\n\nRetrieved "), F.size("entities").cast("string"), F.lit(" entities from "), F.size("topics").cast("string"), F.lit(" topics\nAverage similarity: "), F.format_string("%.2f", "avg_similarity"))
+    return out.select("query", F.coalesce(text, F.lit("No traversal path available.")).alias("text"))
+
+
+def compare(old: DataFrame, new: DataFrame, first: int = 5) -> DataFrame:
+    """(query, old_count, new_count, old_first, new_first) of two results (query, id, rank)."""
+    def per(df: DataFrame, tag: str) -> DataFrame:
+        ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= first, F.struct("rank", F.col("id").cast("string").alias("id"))))), lambda x: x["id"])
+        return df.groupBy("query").agg(F.count(F.lit(1)).alias(f"{tag}_count"), ids.alias(f"{tag}_first"))
+
+    both = per(old, "old").join(per(new, "new"), "query", "full")
+    none = F.array().cast("array<string>")
+    return both.select("query", *[F.coalesce(f"{t}_count", F.lit(0)).cast("long").alias(f"{t}_count") for t in ("old", "new")], *[F.coalesce(f"{t}_first", none).alias(f"{t}_first") for t in ("old", "new")])
+
+
+def retrieval_stats(best: DataFrame) -> DataFrame:
+    """(query, results, max_hop, top_score)."""
+    return best.groupBy("query").agg(F.count(F.lit(1)).alias("results"), F.max("hop").alias("max_hop"), F.max("score").alias("top_score"))
 
 
 def _similar(queries: DataFrame, tree: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ SQL_GRAPH = f"{SQL_NODES}, {SQL_EDGES}, {SQL_TWO}"
 # ------------------------------------------------------------------------------------------- text
 
 
-@query(f"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g'))) AS digest, length(trim(regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g')))::BIGINT AS n FROM documents")
+@query(f"SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n FROM (SELECT doc_id, replace(replace(replace(trim(regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g'), ' '), chr(0), ''), chr(61623), ''), chr(8226), '') AS t FROM documents)")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = T.clean_text(F.coalesce("text", F.lit("")))
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned).alias("digest"), F.length(cleaned).cast("long").alias("n"))
@@ -97,7 +97,7 @@ def chunk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(pieces).alias("chunk_no", "t")).select("doc_id", "chunk_no", F.md5("t").alias("digest"))
 
 
-@query("SELECT event_type, CASE lower(event_type) " + " ".join(f"WHEN '{w}' THEN '{v}'" for v, ws in T.RELATIONS.items() for w in ws.split()) + " ELSE lower(event_type) END AS relation, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+@query("SELECT event_type, CASE lower(event_type) " + " ".join(f"WHEN '{w}' THEN '{v}'" for v, ws in T.RELATIONS.items() for w in ws) + " ELSE lower(event_type) END AS relation, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def relation_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", T.normalize_relation(F.col("event_type")).alias("relation"), "n")
 
@@ -118,10 +118,28 @@ def node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("id", "mentions", F.size(F.array_distinct("documents")).cast("long").alias("documents"), "aliases")
 
 
-@query(f"SELECT n[ord] AS src, n[ord + 1] AS dst, count(*)::BIGINT AS mentions, 0.5 AS confidence FROM ({SQL_NAMES}) WHERE ord < len(n) GROUP BY 1, 2")
+_EDGE_SQL = f"""
+WITH r AS (
+  SELECT n[ord] AS src, n[ord + 1] AS dst, doc_id, doc_id * 100000 + ord AS o,
+    CASE ord % 3 WHEN 0 THEN 'uses' WHEN 1 THEN 'is_a' ELSE 'extends' END AS relation, (ord % 7) / 10.0 AS confidence
+  FROM ({SQL_NAMES}) WHERE ord < len(n)
+),
+p AS (SELECT src, dst, relation, min(o) AS o FROM r GROUP BY 1, 2, 3),
+l AS (SELECT src, dst, list(relation ORDER BY o) AS relations FROM p GROUP BY 1, 2)
+SELECT r.src, r.dst, any_value(array_to_string(l.relations, ',')) AS relations, count(*)::BIGINT AS mentions,
+  md5(array_to_string(list(doc_id ORDER BY o), ',')) AS sources, max(confidence)::DOUBLE AS confidence
+FROM r JOIN l ON l.src = r.src AND l.dst = r.dst GROUP BY r.src, r.dst
+"""
+
+
+@query(_EDGE_SQL)
 def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = relations(spark, sf_dir).select("src", "dst", F.lit("related_to").alias("relation"), F.col("doc_id").alias("doc"), F.lit(0.5).alias("confidence"), "ord")
-    return G.merge_edges(found).select("src", "dst", "mentions", "confidence")
+    """Neighbouring names, with a verb and a confidence by their place, merged to one edge a pair."""
+    at = F.col("ord") + 1
+    verb = F.when(at % 3 == 0, "uses").when(at % 3 == 1, "is_a").otherwise("extends")
+    found = relations(spark, sf_dir).select("src", "dst", verb.alias("relation"), F.col("doc_id").alias("doc"), (at % 7 / 10.0).alias("confidence"), (F.col("doc_id") * 100000 + at).alias("ord"))
+    merged = G.merge_edges(found)
+    return merged.select("src", "dst", F.array_join("relations", ",").alias("relations"), "mentions", F.md5(F.array_join(F.col("sources").cast("array<string>"), ",")).alias("sources"), F.col("confidence").cast("double").alias("confidence"))
 
 
 # ------------------------------------------------------------------------------------------ graph
@@ -164,7 +182,7 @@ def _sql_pagerank(rounds: int) -> str:
 
 @query(_sql_pagerank(10))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pagerank(nodes_emb(spark, sf_dir), edges_emb(spark, sf_dir), 10).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return G.pagerank(nodes_emb(spark, sf_dir), edges_emb(spark, sf_dir), 10, tolerance=None).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query()
@@ -207,15 +225,14 @@ _RULES = """CASE WHEN (s.type LIKE '%model%' OR s.type LIKE '%architecture%') AN
  WHEN (s.type LIKE '%model%' OR s.type LIKE '%architecture%') AND (t.type LIKE '%method%' OR t.type LIKE '%technique%') THEN 'uses'
  WHEN (s.type LIKE '%model%' OR s.type LIKE '%architecture%') AND t.type LIKE '%task%' THEN 'applied_to'
  WHEN t.type LIKE '%dataset%' THEN 'evaluated_on' WHEN t.type LIKE '%architecture%' THEN 'uses'
- WHEN s.type LIKE '%person%' OR t.type LIKE '%person%' THEN 'authored_by' WHEN s.type LIKE '%component%' OR t.type LIKE '%component%' THEN 'part_of'
- WHEN t.type LIKE '%method%' OR t.type LIKE '%technique%' THEN 'uses' ELSE 'related_to' END"""
+ WHEN t.type LIKE '%person%' OR t.type LIKE '%author%' THEN 'authored_by' WHEN t.type LIKE '%component%' THEN 'part_of'
+ WHEN t.type LIKE '%method%' OR t.type LIKE '%technique%' THEN 'uses' ELSE 'semantically_related' END"""
 
 
-@query(f"WITH {SQL_GRAPH}, r AS (SELECT src, dst, {_RULES} AS relation FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst) SELECT src, dst, relation, CASE WHEN relation = 'related_to' THEN 0.3 ELSE 0.6 END AS confidence FROM r")
+@query(f"WITH {SQL_GRAPH}, r AS (SELECT src, dst, {_RULES} AS relation FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst) SELECT src, dst, relation, CASE WHEN relation = 'semantically_related' THEN 0.3 ELSE 0.6 END AS confidence FROM r")
 def relation_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edges_emb(spark, sf_dir).select("src", "dst", F.lit("semantically_related").alias("relation"), F.lit(True).alias("inferred"), F.lit(None).cast("double").alias("confidence"))
     typed = G.relation_types(edges, nodes_emb(spark, sf_dir))
-    typed = typed.withColumn("relation", F.when(F.col("relation") == "semantically_related", "related_to").otherwise(F.col("relation")))
     return G.fill_confidence(typed).select("src", "dst", "relation", "confidence")
 
 
@@ -227,23 +244,24 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_GRAPH}, x AS (SELECT s.cluster AS a, t.cluster AS b FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst WHERE s.cluster <> t.cluster), y AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x), z AS (SELECT cluster, count(*) AS k FROM nodes GROUP BY 1), r AS (SELECT a, b, count(*) AS n, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, b) AS rank FROM y GROUP BY 1, 2) SELECT a AS cluster, b AS related, round(n / k::DOUBLE, 9) AS similarity, rank::INT AS rank FROM r JOIN z ON z.cluster = a WHERE rank <= 5")
 def related_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = nodes_emb(spark, sf_dir), edges_emb(spark, sf_dir)
-    c = lambda end: nodes.select(F.col("id").alias(end), F.col("cluster").alias(f"c_{end}"))
-    e = edges.join(c("src"), "src").join(c("dst"), "dst").where("c_src <> c_dst")
-    both = e.select(F.col("c_src").alias("a"), F.col("c_dst").alias("b")).unionByName(e.select(F.col("c_dst").alias("a"), F.col("c_src").alias("b")))
-    counts = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("rank <= 5")
-    size = nodes.groupBy(F.col("cluster").alias("a")).agg(F.count(F.lit(1)).alias("k"))
-    return ranked.join(size, "a").select(F.col("a").alias("cluster"), F.col("b").alias("related"), F.round(F.col("n") / F.col("k"), 9).alias("similarity"), "rank")
+    out = P.related_topics(edges_emb(spark, sf_dir), nodes_emb(spark, sf_dir))
+    return out.select("cluster", "related", F.round("similarity", 9).alias("similarity"), "rank")
+
+
+_COHERENCE_SQL = """
+WITH r AS (SELECT label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+f AS (SELECT * FROM r WHERE k <= 10)
+SELECT a.label, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS coherence
+FROM f a JOIN f b ON a.label = b.label AND a.k <> b.k GROUP BY 1
+"""
 
 
-@query("WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS k, embedding FROM embeddings), s AS (SELECT label, k, sum(embedding[k]::DOUBLE) AS x FROM u GROUP BY 1, 2), n AS (SELECT label, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1) SELECT s.label, round((sum(x * x) - any_value(n)) / (any_value(n) * (any_value(n) - 1)), 5) AS coherence FROM s JOIN n ON n.label = s.label GROUP BY 1")
+@query(_COHERENCE_SQL)
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean cosine of a topic's pairs of unit vectors in closed form: linear in the vectors."""
-    dims = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
-    sums = dims.groupBy("label", "k").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
-    out = sums.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("s"), F.max("n").cast("double").alias("n"))
-    return out.select("label", F.round((F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 5).alias("coherence"))
+    """Mean cosine of the pairs of a topic's first ten members, in closed form: linear in the vectors."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+    members = vectors(spark, sf_dir).select(F.col("label").alias("topic"), place.alias("rank"), "vector")
+    return E.topic_coherence(members).select(F.col("topic").alias("label"), F.round("coherence", 6).alias("coherence"))
 
 
 @query()
@@ -327,10 +345,26 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", (F.round("silhouette", 5) + 0.0).alias("silhouette"))
 
 
-@query(f"WITH {SQL_NODES}, {SQL_EDGES}, i AS (SELECT s.cluster AS c, count(*) AS e FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst WHERE s.cluster = t.cluster GROUP BY 1), z AS (SELECT cluster, count(*) AS k FROM nodes WHERE cluster >= 0 GROUP BY 1) SELECT cluster, k::BIGINT AS size, round(least(1.0, 0.3 * coalesce(e, 0) / greatest(k * (k - 1), 1) + 0.2 * least(1.0, k / 50.0) + 0.1 * least(1.0, k / 20.0)), 9) AS score FROM z LEFT JOIN i ON i.c = cluster")
+SQL_WEIGHED = "(id % 11) / 10.0"
+_SCORES_SQL = f"""
+WITH {SQL_NODES}, {SQL_EDGES},
+i AS (SELECT s.cluster AS c, count(*) AS e FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst WHERE s.cluster = t.cluster GROUP BY 1),
+z AS (SELECT cluster, count(*) AS k, avg({SQL_WEIGHED}::DOUBLE) AS imp, sum(id % 4) AS m FROM nodes WHERE cluster >= 0 GROUP BY 1)
+SELECT cluster, k::BIGINT AS size, round(coalesce(e, 0) / greatest(k * (k - 1), 1)::DOUBLE, 9) AS density, round(imp, 9) AS importance,
+  round(least(1.0, 0.4 * imp + 0.3 * coalesce(e, 0) / greatest(k * (k - 1), 1) + 0.2 * least(1.0, m / 50.0) + 0.1 * least(1.0, k / 20.0)), 9) AS score
+FROM z LEFT JOIN i ON i.c = cluster
+"""
+
+
+def nodes_weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G_emb's nodes with an importance and mentions made from the id."""
+    return nodes_emb(spark, sf_dir).withColumns({"importance": (F.col("id") % 11) / 10.0, "mentions": F.col("id") % 4})
+
+
+@query(_SCORES_SQL)
 def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = nodes_emb(spark, sf_dir).withColumns({"importance": F.lit(0.0), "mentions": F.lit(1)})
-    return P.topic_scores(nodes, edges_emb(spark, sf_dir)).select("cluster", "size", F.round("score", 9).alias("score"))
+    out = P.topic_scores(nodes_weighed(spark, sf_dir), edges_emb(spark, sf_dir))
+    return out.select("cluster", "size", *[F.round(c, 9).alias(c) for c in ("density", "importance", "score")])
 
 
 @query("WITH got AS (SELECT DISTINCT o_custkey AS query, l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 25), want AS (SELECT DISTINCT o_custkey AS query, l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity <= 35), s AS (SELECT query, count(g) AS got, count(w) AS want, count(CASE WHEN g = 1 AND w = 1 THEN 1 END) AS hit FROM (SELECT *, 1 AS g FROM got) FULL JOIN (SELECT *, 1 AS w FROM want) USING (query, id) GROUP BY 1) SELECT query, round(coalesce(hit / nullif(got, 0)::DOUBLE, 0), 9) AS precision, round(coalesce(hit / nullif(want, 0)::DOUBLE, 0), 9) AS recall, round(coalesce(2.0 * hit / nullif(got + want, 0), 0), 9) AS f1 FROM s")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The fields of the published files.
 EXTRACTED = "filename string, filepath string, text string, text_length long, extraction_method string, timestamp string, metadata struct<title: string, author: string, subject: string, creator: string, producer: string, num_pages: int>"
 _ENTITY = "name: string, type: string, description: string, confidence: double"
 _RELATION = "subject: string, predicate: string, object: string, confidence: double"
@@ -111,3 +112,75 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """Text parts that make one GraphML document when put together in the order of their names."""
     graphml_lines(nodes, edges).repartitionByRange("part", "line").sortWithinPartitions("part", "line").select("line").write.mode("overwrite").text(folder)
+
+
+def gml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, ord, line): a GML document; nodes get whole numbers by the order of their ids, and keep the id as label.
+
+    Numbers come from a sort by ranges, so no task holds all nodes.
+    """
+    n = flat(nodes)
+    numbered = n.select("id").distinct().orderBy("id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF(f"id {dict(n.dtypes)['id']}, number long") if not n.isEmpty() else n.select("id", F.lit(0).cast("long").alias("number"))
+    quote = lambda c: F.concat(F.lit('"'), _xml(c), F.lit('"'))
+    numbers = ("bigint", "int", "double", "float", "boolean")
+
+    def cells(df: DataFrame, skip: tuple) -> list[Column]:
+        return [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"    {c.replace('_', '')} "), F.col(c).cast("string") if t in numbers[:4] else quote(F.col(c)), F.lit("\n"))).otherwise("") for c, t in df.dtypes if c not in skip]
+
+    a = n.join(numbered, "id").select(F.lit(1).alias("part"), F.col("number").alias("ord"), F.concat(F.lit("  node [\n    id "), F.col("number").cast("string"), F.lit("\n    label "), quote(F.col("id")), F.lit("\n"), *cells(n, ("id",)), F.lit("  ]")).alias("line"))
+    e = flat(edges)
+    end = lambda c: numbered.select(F.col("id").alias(c), F.col("number").alias(f"n_{c}"))
+    b = e.join(end("src"), "src").join(end("dst"), "dst").select(F.lit(2).alias("part"), F.col("n_src").alias("ord"), F.concat(F.lit("  edge [\n    source "), F.col("n_src").cast("string"), F.lit("\n    target "), F.col("n_dst").cast("string"), F.lit("\n"), *cells(e, ("src", "dst")), F.lit("  ]")).alias("line"))
+    ends = nodes.sparkSession.createDataFrame([(0, 0, "graph [\n  directed 1"), (3, 0, "]")], "part int, ord long, line string")
+    return ends.unionByName(a).unionByName(b)
+
+
+def write_gml(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    gml_lines(nodes, edges).repartitionByRange("part", "ord", "line").sortWithinPartitions("part", "ord", "line").select("line").write.mode("overwrite").text(folder)
+
+
+def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, data) of lines ``src dst {..}``; names without blanks, since lines with more are ambiguous: their ends are null."""
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    ends = F.regexp_extract("value", r"^(\S+) (\S+)(?: (\{.*\}))?$", 1), F.regexp_extract("value", r"^(\S+) (\S+)(?: (\{.*\}))?$", 2)
+    return rows.select(*[F.nullif(c, F.lit("")).alias(n) for n, c in zip(("src", "dst"), ends, strict=True)], F.nullif(F.regexp_extract("value", r"(\{.*\})$", 1), F.lit("")).alias("data"))
+
+
+def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(json): a whole graph with its statistics as one document, for graphs of a size that one row can hold; ``read_graph_json`` reads it.
+
+    Larger graphs go by ``write_graph_json``.
+    """
+    from ..operators.graph import statistics
+
+    a = nodes.agg(F.array_sort(F.collect_list(F.struct(*nodes.columns))).alias("nodes"))
+    e = edges.withColumnsRenamed({"src": "source", "dst": "target"})
+    b = e.agg(F.array_sort(F.collect_list(F.struct(*e.columns))).alias("edges"))
+    row = a.join(F.broadcast(b)).join(F.broadcast(statistics(nodes, edges)))  # one row each
+    return row.select(F.to_json(F.struct("nodes", "edges", F.struct("num_nodes", "num_edges", "density").alias("statistics")), {"pretty": "true"}).alias("json"))
+
+
+def write_report(rows: DataFrame, folder: str) -> None:
+    """Any table as JSON lines: metrics, answers, model parts."""
+    rows.write.mode("overwrite").json(folder)
+
+
+def tree_document(tree: DataFrame) -> DataFrame:
+    """(id, level, json): each node with its children's documents inside, five entities each; the top row holds the whole tree.
+
+    Goes up level by level, so it has as many rounds as the tree has levels.
+    """
+    from ..operators.graph import cut
+
+    own = cut(tree.select("id", "level", "parent", "ord", F.to_json(F.struct("id", "name", "kind", "level", "summary", F.col("size").alias("entity_count"), *([F.slice("key_entities", 1, 5).alias("key_entities")] if "key_entities" in tree.columns else []))).alias("head")))
+    done = None
+    for level in sorted(r["level"] for r in own.select("level").distinct().collect()):  # one row a level
+        here = own.where(F.col("level") == level)
+        if done is None:
+            kids = here.select("id", F.lit(None).cast("string").alias("k"))
+        else:
+            kids = done.groupBy(F.col("parent").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda x: x["json"]), ",").alias("k"))
+        body = F.expr("substring(head, 1, length(head) - 1)")
+        here = here.join(kids, "id", "left").select("id", "level", "parent", "ord", F.concat(body, F.lit(',"children":['), F.coalesce("k", F.lit("")), F.lit("]}")).alias("json"))
+        done = cut(here) if done is None else cut(done.unionByName(here))
+    return done.select("id", "level", "json")
