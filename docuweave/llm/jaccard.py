@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import ship, small, written
+from .common import columns_of, ship, small, sweep, written
 from .components import components
 
 ship(__name__)
@@ -55,6 +55,8 @@ BITS, WIDE = 1024, 1 << 17
 TILE = 1024
 HEAVY = 1 << 18
 HEAVY_SHARE, HEAVY_COUNT = 16, 4
+#: From this level on (a power of two of the count in the sample, plus one) a shingle is hot.
+HOT = 8
 MAX_BROADCAST = 2_000_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -180,10 +182,10 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], names=["s", "n"])
 
     counts = some.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_COUNT)
-    top = counts.orderBy(F.desc("n"), "s").limit(HEAVY).toPandas()
-    s = top["s"].to_numpy(np.int64).view(np.uint64)
+    s, n = columns_of(counts.orderBy(F.desc("n"), "s").limit(HEAVY), {"s": "int64", "n": "float64"})
+    s = s.view(np.uint64)
     order = np.argsort(s)
-    return s[order], np.log2(top["n"].to_numpy(np.float64)[order]).astype(np.int64) + 1
+    return s[order], np.log2(n[order]).astype(np.int8) + 1
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -258,13 +260,22 @@ def _pass_bound(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return near.where(_may_link("na", "ba", "nb", "bb")).select("a", "b")
 
 
-def _undecided(heads: DataFrame, partitions: int) -> DataFrame:
+def _undecided(heads: DataFrame, partitions: int, hot: np.ndarray) -> DataFrame:
     """(lot, cls, comp, n) of the classes whose prefix shingles lead to two components or more.
 
     Shingles whose least class is the same share a lot, since they nearly always come from the
-    same passage: its classes are compared once and not once for each shingle.
+    same passage: its classes are compared once and not once for each shingle.  Shingles meet in
+    a task by their hash, but the ``hot`` ones, which very many texts have, are counted by partial
+    aggregation instead and never gathered; they are at most ``HEAVY``, and so are broadcast.
     """
     rows = heads.select("cls", "comp", "n", F.explode("prefix").alias("token")).select("token", "cls", "comp", "n")
+    often = None
+    if len(hot):
+        tokens = F.broadcast(heads.sparkSession.createDataFrame(pa.table({"token": hot.view(np.int64)})))
+        often = rows.join(tokens, "token", "left_semi")
+        mixed = often.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("cls").alias("lot")).where("c1 <> c2").select("token", "lot")
+        often = often.join(F.broadcast(mixed), "token").select("lot", "cls", "comp", "n")
+        rows = rows.join(tokens, "token", "left_anti").select("token", "cls", "comp", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
@@ -288,41 +299,38 @@ def _undecided(heads: DataFrame, partitions: int) -> DataFrame:
             k = keep[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(lot[i : i + 50_000]), pa.array(cls[k]), pa.array(comp[k]), pa.array(n[k])], names=["lot", "cls", "comp", "n"])
 
-    return rows.repartition(partitions, "token").mapInArrow(run, "lot long, cls long, comp long, n long").distinct()
+    found = rows.repartition(partitions, "token").mapInArrow(run, "lot long, cls long, comp long, n long")
+    return (found if often is None else found.unionByName(often)).distinct()
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Deal the undecided rows to tiles: (lot, band, i, j), with the row's own block and whether it is at home."""
+def _tiles(rows: DataFrame, count: int) -> DataFrame:
+    """Deal the undecided rows to tiles: (lot, band, i, j), with the row's own block and whether it is at home.
+
+    ``count`` is the number of rows.  Lots with a thousandth of them or more are at most 2,000: they are joined by broadcast.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9)).cast("int")
     dealt = rows.select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("_b"))
     dealt = dealt.select("lot", "cls", "comp", "n", "_b.band", "_b.home")
     sizes = dealt.groupBy("lot", "band").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("any_home"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    sizes = sizes.where("k > 1 and any_home and c1 <> c2").select("lot", "band", F.ceil(F.col("k") / TILE).cast("int").alias("nb"))
-    dealt = dealt.join(sizes, ["lot", "band"])
+    limit = max(1000, count // 1000)
+    blocks = sizes.where("any_home and c1 <> c2").select("lot", "band", F.ceil(F.col("k") / TILE).cast("int").alias("nb"))
+    hot = F.broadcast(sizes.where(F.col("k") >= limit).select("lot", "band"))
+    cold = dealt.join(hot, ["lot", "band"], "left_anti").join(blocks.where(F.col("nb") <= max(1, -(-limit // TILE))), ["lot", "band"])
+    wide = sizes.where((F.col("k") >= limit) & F.expr("any_home and c1 <> c2")).select("lot", "band", F.ceil(F.col("k") / TILE).cast("int").alias("nb"))
+    dealt = cold.unionByName(dealt.join(F.broadcast(wide), ["lot", "band"]))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("nb", "other")
 
 
 def _compare(tiles: DataFrame, heads: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): the pairs of a tile whose sizes and bit counts allow a link and that no component joins yet."""
+    """(a, b): the pairs of a tile whose sizes and bit counts allow a link and that no component joins yet.
+
+    Rows come sorted by tile, and a worker holds one tile at a time: at most about 2 ``TILE`` bitmaps.
+    """
     rows = tiles.join(heads.select("cls", "wide"), "cls").select("lot", "band", "i", "j", "block", "home", "cls", "comp", "n", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        del parts
-        col = {c: table.column(c).to_numpy() for c in table.column_names if c != "wide"}
-        wide = table.column("wide")
-        order = np.lexsort((col["j"], col["i"], col["band"], col["lot"]))
-        change = np.zeros(len(order), bool)
-        change[:1] = True
-        for c in ("lot", "band", "i", "j"):
-            v = col[c][order]
-            change[1:] |= v[1:] != v[:-1]
-        starts = np.flatnonzero(change)
         found: set[tuple[int, int]] = set()
 
         def out() -> pa.RecordBatch:
@@ -330,15 +338,17 @@ def _compare(tiles: DataFrame, heads: DataFrame, partitions: int) -> DataFrame:
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-        for s, e in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-            at = order[s:e]
-            split = col["i"][at[0]] != col["j"][at[0]]
-            left = np.flatnonzero(col["block"][at] == col["i"][at[0]]) if split else np.arange(len(at))
-            right = np.flatnonzero(col["block"][at] == col["j"][at[0]]) if split else np.arange(len(at))
-            maps = [wide[int(k)].as_py() for k in at]
+        def tile(pieces: list[tuple[dict, list]]) -> Iterator[pa.RecordBatch]:
+            col = {c: np.concatenate([p[0][c] for p in pieces]) for c in pieces[0][0]}
+            maps = [m.as_py() for p in pieces for m in p[1]]
+            if len(maps) < 2:
+                return
+            split = col["i"][0] != col["j"][0]
+            left = np.flatnonzero(col["block"] == col["i"][0]) if split else np.arange(len(maps))
+            right = np.flatnonzero(col["block"] == col["j"][0]) if split else np.arange(len(maps))
             size = min(map(len, maps))
             bits = np.stack([folded(m, size) for m in maps])
-            cls, comp, n, home = (col[c][at] for c in ("cls", "comp", "n", "home"))
+            cls, comp, n, home = (col[c] for c in ("cls", "comp", "n", "home"))
             for k in range(0, len(left), 128):
                 x, y = left[k : k + 128][:, None], right[None, :]
                 ok = (home[x] | home[y]) & (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
@@ -352,14 +362,32 @@ def _compare(tiles: DataFrame, heads: DataFrame, partitions: int) -> DataFrame:
                     found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
                     if len(found) > 200_000:
                         yield out()
+
+        held: list[tuple[dict, list]] = []
+        now = None
+        for batch in batches:
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "wide"}
+            wide = batch.column("wide")
+            keys = np.stack([col[c].astype(np.int64) for c in ("lot", "band", "i", "j")])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)]) if batch.num_rows else []
+            for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                key = tuple(keys[:, s])
+                if key != now and held:
+                    yield from tile(held)
+                    held = []
+                now = key
+                held.append(({c: v[s:e] for c, v in col.items()}, wide.slice(s, e - s)))
+        if held:
+            yield from tile(held)
         if found:
             yield out()
 
-    return rows.repartition(partitions, "lot", "band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition(partitions, "lot", "band", "i", "j").sortWithinPartitions("lot", "band", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _settled(extra: DataFrame, near: DataFrame, first: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) with the components of all of ``near`` and of the linked pairs of ``extra``.
+    """The components (node, root), written, of all of ``near`` and of the linked pairs of ``extra``; ``first`` are those of ``near``.
 
     Groups of near copies that differ give many candidates between the same two components, and
     one link decides.  So one pair of each two components is verified first, ``AGAIN`` times; what
@@ -379,25 +407,27 @@ def _settled(extra: DataFrame, near: DataFrame, first: DataFrame, heads: DataFra
             pick = written(two.agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))).alias("p")).select("p.a", "p.b"))
         links = written(links.unionByName(_verified(pick, heads, docs)))
         roots = written(components(links))
-    return links
+    return roots
 
 
-def _candidates(placed: DataFrame, flat: DataFrame, heads: DataFrame) -> DataFrame:
+def _candidates(placed: DataFrame, flat: DataFrame, heads: DataFrame, hot: np.ndarray) -> DataFrame:
     """(a, b), written: all pairs of classes of different ``comp`` that the prefixes, sizes and bit counts allow."""
     total = flat.agg(F.coalesce(F.sum(F.size(F.coalesce("prefix", F.array().cast("array<long>")))), F.lit(0)).alias("t")).first()["t"]
-    undecided = written(_undecided(placed, max(12, int(total // 1_000_000))))
-    partitions = max(12, undecided.count() // 20_000)
-    return written(_compare(_tiles(undecided), heads, partitions))
+    undecided = written(_undecided(placed, max(12, int(total // 1_000_000)), hot))
+    count = undecided.count()
+    sweep(placed.sparkSession)
+    return written(_compare(_tiles(undecided, count), heads, max(12, count // 20_000)))
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rows with keys, their sketches, the classes (cls, first_doc, rkey, copies) and one sketch of each class."""
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """The rows with keys, their sketches, the classes (cls, first_doc, rkey, copies), one sketch of each class, and hot shingles."""
     docs = docs.select(row_key().alias("rkey"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flat = written(_sketches(docs, *_frequent(docs)))
+    heavy, level = _frequent(docs)
+    flat = written(_sketches(docs, heavy, level))
     known = flat.where("cls is not null")
     classes = written(known.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.min("rkey").alias("rkey"), F.count(F.lit(1)).alias("copies")))
     copied = classes.where("copies > 1")
@@ -410,13 +440,14 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     repeated = not known.groupBy("rkey").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
     if repeated:  # the same row twice: its sketch would meet itself
         heads = written(heads.dropDuplicates(["cls"]))
-    return docs, flat, classes, heads
+    return docs, flat, classes, heads, heavy[level >= HOT]
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (rkey, doc_id, n, cls) and classes (cls, root, first_doc, rkey, copies); both written tables."""
-    docs, flat, classes, heads = _prepared(docs)
+    docs, flat, classes, heads, hot = _prepared(docs)
     near = written(_verified(written(_likely(heads)), heads, docs))
+    sweep(docs.sparkSession)
     for k in range(AGAIN + 1):
         first = written(components(near))
         spread = F.broadcast(first) if small(first, MAX_BROADCAST) else first
@@ -426,8 +457,8 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if more.isEmpty():
                 break
             near = written(near.unionByName(more))
-    extra = _candidates(placed, flat, heads)
-    final = written(components(_settled(extra, near, first, heads, docs)))
+    extra = _candidates(placed, flat, heads, hot)
+    final = _settled(extra, near, first, heads, docs)
     ids = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return flat, written(ids.select("cls", "root", "first_doc", "rkey", "copies"))
 
@@ -452,8 +483,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each class is its own component here, so no pair is skipped: the work grows with the number of
     links, which in a group of near copies is the square of its distinct texts.
     """
-    docs, flat, classes, heads = _prepared(docs)
-    pairs = _candidates(heads.withColumn("comp", F.col("cls")), flat, heads)
+    docs, flat, classes, heads, hot = _prepared(docs)
+    pairs = _candidates(heads.withColumn("comp", F.col("cls")), flat, heads, hot)
     links = written(_verified(pairs, heads, docs))
     members = flat.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(classes.select("cls", "copies"), "cls", "left")
     return links, members.select("cls", "doc_id", "n_shingles", F.coalesce("copies", F.lit(1)).alias("n_copies"))
@@ -471,18 +502,19 @@ def link_counts(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, with one row of each group of linked documents: that of the least doc_id.
 
-    Documents without words stay.  Of rows with that doc_id the one with the least hash stays, and
-    of repeated rows one.
+    Documents without words all stay, repeated ones too, since they are linked with nothing.  Of
+    rows with that doc_id the one with the least hash stays, and of repeated rows one.
     """
     flat, ids = _joined(docs)
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rkey")
     placed = flat.where("cls is not null").join(ids.select("cls", "root"), "cls").select("rkey", "doc_id", "root")
-    heads = placed.groupBy("root").agg(F.min(order).alias("head")).select("root", F.col("head.rkey").alias("head"))
-    gone = written(placed.join(heads, "root").where("rkey <> head").select("rkey").distinct())
-    keyed = docs.withColumn("_rkey", row_key())
-    if small(gone, MAX_BROADCAST):
-        gone = F.broadcast(gone)
-    kept = keyed.join(gone.withColumnRenamed("rkey", "_rkey"), "_rkey", "left_anti")
+    heads = placed.groupBy("root").agg(F.min(order).alias("head")).select(F.col("head.rkey").alias("rkey"))
+    gone = written(placed.select("rkey").distinct().join(heads, "rkey", "left_anti"))
+    key = "__docuweave_rkey"
+    keyed = docs.withColumn(key, row_key())
+    few = F.broadcast(gone) if small(gone, MAX_BROADCAST) else gone
+    kept = keyed.join(few.withColumnRenamed("rkey", key), key, "left_anti")
     if not flat.where("cls is not null").groupBy("rkey").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
-        kept = kept.dropDuplicates(["_rkey"])
+        worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        kept = kept.where(worded).dropDuplicates([key]).unionByName(kept.where(~worded))
     return kept.select(*docs.columns)

@@ -334,3 +334,37 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and 0 < sizes[-1] < sizes[0]
     packed = cp.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+# --------------------------------------------------------------------------------- shared helpers
+
+
+def test_components_and_their_mark(spark, monkeypatch):
+    from docuweave.llm import components as comp
+
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(60)] + [(1000, 1000 + i) for i in range(80)] + [(7, 7), (None, 3), (3, 4), (4, 3), (3, 4)]
+    low = {}
+
+    def root(x):
+        while low.setdefault(x, x) != x:
+            x = low[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            low[y] = x
+    table = spark.createDataFrame([(a, b, "x") for a, b in edges], "a long, b long, m string")
+    want = {x: root(x) for x in low}
+    # In one task; in rounds of joins; and in rounds with nodes that are joined by broadcast.
+    for chunk, limit in ((comp.CHUNK, 1000), (60, 1000), (60, 5)):
+        monkeypatch.setattr(comp, "CHUNK", chunk)
+        monkeypatch.setattr(comp, "LEAST", limit)
+        monkeypatch.setattr(comp, "SHARE", 10)
+        got = [tuple(r) for r in comp.components(table).collect()]
+        assert dict(got) == want and len(got) == len(want)
+    assert comp.components(table.limit(0)).collect() == []
+    # The hash of very many edges does not overflow.
+    many = spark.range(40_000_000).select(F.bit_xor(F.xxhash64("id", F.col("id") + 1)).alias("h"), F.count(F.lit(1)).alias("n")).first()
+    assert many["n"] == 40_000_000 and -(1 << 63) <= many["h"] < 1 << 63
