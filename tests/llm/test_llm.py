@@ -368,3 +368,141 @@ def test_components_and_their_mark(spark, monkeypatch):
     # The hash of very many edges does not overflow.
     many = spark.range(40_000_000).select(F.bit_xor(F.xxhash64("id", F.col("id") + 1)).alias("h"), F.count(F.lit(1)).alias("n")).first()
     assert many["n"] == 40_000_000 and -(1 << 63) <= many["h"] < 1 << 63
+
+
+# ------------------------------------------------------------ methods against plain loops, more odd rows
+
+
+def test_quality_scores_equal_a_plain_loop(spark):
+    import zstandard
+
+    rnd = random.Random(11)
+    rows = [(i, text_of(rnd, 40, 300) if i % 2 else text_of(rnd, 40, 300).upper()) for i in range(80)] + ODD
+    model = quality.fit([(i, t, i % 2) for i, t in rows[:80]])
+
+    def plain(text):
+        data = (text or "").encode()
+        sizes = []
+        for d in (model["good"], model["bad"]):
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append([len(c.compress(data[k : k + 512])) for k in range(0, max(1, len(data)), 512)])
+        g, b = (np.array(s, float) for s in sizes)
+        d = (b - g) / np.maximum(g, b)
+        x = np.array([(b.sum() - g.sum()) / max(g.sum(), b.sum()), min(min(g.sum(), b.sum()) / max(1, len(data)), 2), d.max(), d.min()])
+        z = np.clip((x - model["mean"]) / model["scale"], -6, 6)
+        return 1 / (1 + np.exp(-np.clip(np.r_[1, z, z[0] ** 2, z[1] ** 2, z[0] * z[1]] @ model["beta"], -30, 30)))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.with_quality(df, model).collect()
+    assert [r["score"] for r in got] == pytest.approx([plain(t) for _, t in rows])
+    assert quality.with_quality(df.limit(0), model).collect() == []
+
+
+def test_toxicity_chain_equals_a_plain_loop(spark):
+    rnd = random.Random(12)
+    rows = [(i, text_of(rnd, 30, 200) + (" vile oaf" if i % 3 == 0 else " grim lout" if i % 3 == 1 else "")) for i in range(120)]
+    model = toxicity.fit([(i, t, int(i % 3 < 2)) for i, t in rows], "toxic", (0.5, 0.5))
+    assert len(model["names"]) > 1 and model["names"][-1] == "toxic"
+
+    def plain(text):
+        import re
+
+        found = {model["index"][f] for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for f in [w, *(w[:k] + "*" for k in range(4, 8) if len(w) > k)] if f in model["index"]}
+        probabilities = []
+        for link in model["links"]:
+            s = link["bias"] + sum(link["words"][k] for k in found) + sum(a * b for a, b in zip(link["links"], probabilities, strict=True))
+            probabilities.append(1 / (1 + np.exp(-s)))
+        return probabilities
+
+    df = spark.createDataFrame(rows + ODD, "doc_id long, text string")
+    got = toxicity.with_toxicity(df, model, "c").collect()
+    for r, (_, t) in zip(got, rows + ODD, strict=True):
+        assert list(r["c"]) == pytest.approx(plain(t))
+    assert toxicity.with_toxicity(df.limit(0), model, "c").collect() == []
+
+
+def test_url_scores_equal_a_plain_loop(spark):
+    import math
+
+    rnd = random.Random(13)
+    urls_ = [f"http://h{i}.com/en/{text_of(rnd, 2)}" if i % 2 else f"https://h{i}.net/de/{i}?q={rnd.randrange(99)}" for i in range(80)]
+    urls_ += ["http://x.info/" + text_of(rnd, 3), "", None, "HTTP://X.info/Ä", "y" * 5000, "http://x.info/a", "http://x.info/a"]
+    df = spark.createDataFrame([(i, u, "k", 1.0) for i, u in enumerate(urls_)], "page_id long, url string, rule string, score double")
+    got = [r["score"] for r in urls.judge(df).orderBy("page_id").collect()]
+    number = lambda c: ord(c) - 96 if "a" <= c <= "z" else ord(c) - 21 if "0" <= c <= "9" else 37 + urls.SIGNS.index(c) if c in urls.SIGNS else 47
+    low = lambda u: "".join(c.lower() if "A" <= c <= "Z" else c for c in u or "")
+    marks = lambda u: [0, 0, *map(number, low(u))]
+    counts = {}
+    for u in urls_[:80]:
+        if zlib.crc32(u.encode()) % 5:
+            m = marks(u)
+            table = counts.setdefault(".net/" in u, Counter())
+            for i in range(2, len(m)):
+                for k in (0, 1, 2):
+                    table[(k, *m[i - k : i + 1])] += 1
+                    table[("n", k, *m[i - k : i])] += 1
+
+    def log_p(table, a, b, c):
+        p = (table[0, c] + 1) / (table["n", 0] + 48)
+        for k, ctx in ((1, (b,)), (2, (a, b))):
+            n = table[("n", k, *ctx)]
+            p = (table[(k, *ctx, c)] + 4 * p) / (n + 4) if n >= 4 else p
+        return math.log(p)
+
+    for u, s in zip(urls_, got, strict=True):
+        m = marks(u)
+        parts = [log_p(counts[True], *m[i - 2 : i + 1]) - log_p(counts[False], *m[i - 2 : i + 1]) for i in range(2, len(m))]
+        assert s == pytest.approx(sum(parts) / max(1, len(parts)), abs=2e-4)
+
+
+def test_shards_cut_fewer_edges_than_hashing(spark):
+    rnd = random.Random(14)
+    rows = [(i, f"g{rnd.randrange(60)}" if i % 2 else f"t{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, 6).collect()}
+    hashed = {r["doc_id"]: r["s"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(6)).alias("s")).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    cut = lambda place: sum(place[a] != place[b] for g in groups.values() for a, b in itertools.combinations(g, 2))
+    # Sixty small groups fit six shards of a hundred: the best cut is none.
+    assert cut(got) <= cut(hashed) / 10
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p>one</p><svg width="9"/><p>two</p></article>', "one\n\ntwo"),
+        ("<article><p>one</p><svg><text>x</text><p>two</p></article>", "one\n\ntwo"),
+        ("<article><p>a<svg><title>t</title><text>x</text></svg>b</p></article>", "ab"),
+        ("<title>x<body><article><p>one</p></article>", "one"),
+        ('<article><p class="social history">p</p></article>', "p"),
+        ("<article><p>one <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two</p></article>", "one x=2 two"),
+        ("<article>x<iframe src=q><p>y</p></article>", "x\n\ny"),
+        ("<article>" + "<p>w</p>" * 5000 + "</article>", "\n\n".join(["w"] * 5000)),
+    ],
+)
+def test_extract_reads_on(html, text):
+    assert styletree.extract(html) == text
+
+
+def test_style_tree_against_a_plain_loop(spark):
+    import math
+
+    rnd = random.Random(15)
+    pages = [f"<body><ul><li>home</li><li>news</li></ul><article><h1>t{i}</h1><p>{text_of(rnd, 9, 90)}</p>{'<p>same on all</p>' if i % 2 else ''}</article></body>" for i in range(12)]
+    got = {(r["path"], r["code"]): r["importance"] for r in styletree.telling(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()}
+    seen = Counter(x for p in pages for x in styletree.observe(p))
+    for path in {k[0] for k in seen}:
+        m = seen[path, 0, 0]
+        styles = [n for (q, kind, _), n in seen.items() if q == path and kind == 1]
+        below = [(seen[q, 0, 0], n) for (q, kind, _), n in seen.items() if kind == 2 and (q == path or q.startswith(path + "/"))]
+        if m < 2:
+            assert (path, None) not in got
+            continue
+        style = 1 - sum(n * math.log(n) for n in styles) / (m * math.log(m))
+        content = 1 - sum(math.log(n) / math.log(k) for k, n in below) / len(below) if below else 0.0
+        w = 0.9 ** len(styles)
+        raw = (1 - w) * min(max(style, 0), 1) + w * min(max(content, 0), 1)
+        assert got[path, None] == pytest.approx(0.5 + (raw - 0.5) * (1 - 1 / m))
+    assert styletree.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
