@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_relation
 from .graph import keep_known, merge_edges, merge_nodes
 
+# Functions go to executors by value, so these need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def dedupe_entities(mentions: DataFrame) -> DataFrame:
     """(doc, name, ord, ...): the first of each document's mentions whose names differ in case alone."""

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import RATINGS, cosine, rating
 
+# Functions go to executors by value, so these need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 2000
 
 

@@ -12,17 +12,22 @@ A plug-in is a function on columns or rows that a caller passes in place of the
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import topic_description, type_lines
 from .operators.graph import GENERIC, relation_types
 
+# Functions go to executors by value, so these need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EXTRACTED = "struct<entities: array<struct<name: string, type: string, description: string, confidence: double>>, relationships: array<struct<subject: string, predicate: string, object: string, confidence: double>>, topics: array<string>>"
 _WORD = re.compile(r"[^\W_]+")
 NAME = r"[A-Z][A-Za-z0-9-]+(?: [A-Z][A-Za-z0-9-]+)*"

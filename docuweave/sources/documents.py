@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions go to executors by value, so these need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: From so many signs on the asked backend's text is taken.
 ENOUGH = 100
 UNKNOWN = "Unknown"
