@@ -121,7 +121,7 @@ def test_pagerank_reaches_its_tolerance_and_k_hop_its_query_set(spark):
                 return rank, k + 1
         raise AssertionError
 
-    got = {r["id"]: r["pagerank"] for r in queries.pagerank_converged(spark, sf).collect()}
+    got = {r["id"]: r["pagerank"] for r in queries.pagerank(spark, sf).collect()}
     want, _ = brute(ids, edges)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-9 for i in want)
     ring = {(0, 1), (1, 2), (2, 0), (2, 3), (3, 2), (4, 0)}
@@ -135,4 +135,4 @@ def test_pagerank_reaches_its_tolerance_and_k_hop_its_query_set(spark):
     hop = {i: 0 for i in ids if i % 20 == 0}
     for h in (1, 2):
         hop |= dict.fromkeys({j for i, g in hop.items() if g == h - 1 for j in near[i]} - hop.keys(), h)
-    assert {r["id"]: r["hop"] for r in queries.k_hop_query_set(spark, sf).collect()} == hop
+    assert {r["id"]: r["hop"] for r in queries.k_hop(spark, sf).collect()} == hop
