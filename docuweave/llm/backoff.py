@@ -49,9 +49,12 @@ ALPHA = 0.4
 #: Most n-grams of a length that are broadcast, the share of rows that they are picked from, and how often one must be there.
 HOT, HOT_SHARE, HOT_COUNT = 1 << 18, 16, 3
 BUCKET_ROWS = 1_500_000
-FLUSH_ROWS = 1_500_000
-#: Words that are looked at together.
+FLUSH_ROWS = 1_000_000
+#: Words that are looked at together, and rows that a bucket weighs at once.
 CHUNK = 250_000
+WEIGH_ROWS = 250_000
+#: Parts of the hot n-grams' counts, each of which one task sums.
+COUNT_PARTS = 16
 
 #: Roles of rows: a pair of hot words; a word; a pair by its cold first or second word; both, where both are cold.
 PAIR, WORD, FIRST, SECOND, BOTH_FIRST, BOTH_SECOND = range(6)
@@ -65,7 +68,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 class _Hash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -92,6 +95,37 @@ def _wide(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return ((high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)).view(np.int64)
 
 
+#: Kinds of the columns of rows that are kept: key, partner, role, count, two counts of words, document; and in a bucket.
+_SPREAD = (np.uint64, np.uint64, np.uint8, np.uint32, np.uint32, np.uint32, np.int32)
+_NEAR = (np.uint64, np.int32, np.uint32, np.uint32, np.uint32)
+_COLD = (*_NEAR, np.uint64, np.uint8)
+
+
+def _columns(parts: list[tuple]) -> list[np.ndarray]:
+    """The parts' columns, one after the other, each part's let go of as soon as it is copied; ``parts`` is empty then."""
+    rows = [list(p) for p in parts]
+    parts.clear()
+    out = []
+    for i in range(len(rows[0])):
+        out.append(np.concatenate([r[i] for r in rows]))
+        for r in rows:
+            r[i] = None
+    return out
+
+
+def _by_key(key: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of about ``most`` rows at a time, all rows of a key together."""
+    order = np.argsort(key, kind="stable")
+    at = 0
+    while at < len(key):
+        end = min(at + most, len(key))
+        while end < len(key) and key[order[end]] == key[order[end - 1]]:
+            rest = key[order[end : end + most]]
+            end += int(np.argmax(rest != rest[0])) or len(rest)
+        yield order[at:end]
+        at = end
+
+
 def _floats(values: np.ndarray) -> np.ndarray:
     return values.astype(np.float64).view(np.uint64)
 
@@ -167,17 +201,34 @@ def _counted(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np
             codes, n = np.unique((u << 32 | v)[(u >= 0) & (v >= 0) & (d[:-1] == d[1:])], return_counts=True)
             place = _places(pairs, codes)
             pair_n[place[place >= 0]] += n[place >= 0]
-        for kind, n in enumerate((word_n, pair_n)):
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int64)), pa.array(n[at])], names=["kind", "at", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["kind", "at", "n"])
-
-    kind, at, n = columns_of(docs.select("text").mapInArrow(run, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")), {"kind": "int64", "at": "int64", "n": "int64"})
+        yield from sums((total, word_n, pair_n))
+
+    def sums(counts: tuple) -> Iterator[pa.RecordBatch]:
+        """A row for each part of the tables, so that a task's rows don't depend on what it has read."""
+        total, *tables = counts
+        for part in range(COUNT_PARTS):
+            cut = [n[part::COUNT_PARTS] for n in tables]
+            data = _pack(*_pack_wide(np.concatenate([[total if part == 0 else 0], *cut])))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data])], names=["part", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = _wide(*_unpack(data.as_py(), 2))
+                found[part] = found[part] + n if part in found else n
+        for part, n in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack(*_pack_wide(n))])], names=["part", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "part int, n binary").repartition(COUNT_PARTS, "part").mapInArrow(add, "part int, n binary")
+    out, total = [np.zeros(len(t), np.int64) for t in tables], 0
+    for r in rows.collect():  # ``COUNT_PARTS`` rows
+        n = _wide(*_unpack(r["n"], 2))
+        total += int(n[0])
+        split = 1 + len(out[0][r["part"] :: COUNT_PARTS])
+        out[0][r["part"] :: COUNT_PARTS], out[1][r["part"] :: COUNT_PARTS] = n[1:split], n[split:]
     shared.destroy()
-    out = [np.zeros(len(t), np.int64) for t in tables]
-    for k in (0, 1):
-        out[k][at[kind == k]] = n[kind == k]
-    return out[0], out[1], int(n[kind == 2].sum())
+    return out[0], out[1], total
 
 
 def _grouped(values: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -212,7 +263,7 @@ def backoff_scores(docs: DataFrame, hot: int = HOT, bucket_rows: int = BUCKET_RO
         rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, other, role, n, a, b, local = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, other, role, n, a, b, local = _columns(held)
             base, hits = np.concatenate(bases), np.concatenate(hits_held)
             rowkey, size = (np.array([d[i] for d in docs_held], np.int64) for i in (0, 2))
             ids = np.array([0 if d[1] is None else d[1] for d in docs_held], np.int64)
@@ -288,7 +339,7 @@ def backoff_scores(docs: DataFrame, hot: int = HOT, bucket_rows: int = BUCKET_RO
                     put.append((names[word[keys[pick]]], partner, np.full(len(x), role), n[pick], a, b, pd_[pick]))
             joined = [np.concatenate(x) for x in zip(*put, strict=True)]
             joined[-1] = joined[-1] + len(docs_held)
-            held.append(tuple(joined))
+            held.append(tuple(x.astype(kind) for x, kind in zip(joined, _SPREAD, strict=True)))
             docs_held.extend(docs_here)
             bases.append(base)
             hits_held.append(hits)
@@ -302,51 +353,63 @@ def backoff_scores(docs: DataFrame, hot: int = HOT, bucket_rows: int = BUCKET_RO
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(payloads: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             near, cold, rowkeys, sizes, at = [], [], [], [], 0
-            for main, other, who in payloads:
+            while payloads:
+                main, other, who = payloads.pop()
                 high, low, size = _unpack(who, 3)
                 rowkeys.append(_wide(high, np.cumsum(low.astype(np.uint64)).astype(np.uint64) & np.uint64(0xFFFFFFFF)))
                 sizes.append(size.astype(np.int64))
                 for data, width, to in ((main, 6, near), (other, 9, cold)):
                     if data:
-                        du, lo, local, *rest_of = _unpack(data, width)
+                        du, lo, local, n, a, b, *more = _unpack(data, width)
                         key = (np.cumsum(du.astype(np.uint64)) << np.uint64(32)) | lo
-                        to.append((key, local.astype(np.int64) + at, *(x.astype(np.int64) for x in rest_of)))
+                        row = (key, local.astype(np.int64) + at, n, a, b)
+                        if more:
+                            ph, pl, role = more
+                            row = (*row, ph.astype(np.uint64) << np.uint64(32) | pl, role)
+                        to.append(tuple(x.astype(kind, copy=False) for x, kind in zip(row, _COLD if more else _NEAR, strict=True)))
                 at += len(size)
             rowkey, size = np.concatenate(rowkeys), np.concatenate(sizes)
-            whos, values, found = [], [], []
+            rows, inverse = np.unique(rowkey, return_inverse=True)
+            part, hits = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+
+            def add(who: np.ndarray, value: np.ndarray, found: np.ndarray) -> None:
+                nonlocal part, hits
+                part += np.bincount(inverse[who], value, len(rows))
+                hits += np.bincount(inverse[who], found, len(rows)).astype(np.int64)
+
             if near:
-                key, who, n, cu, cv = (np.concatenate(x) for x in zip(*near, strict=True))
-                others = _grouped(key, n) - n
-                hit = others > 0
-                miss = log_alpha + single(cv, total - size[who])
-                whos.append(who)
-                values.append(np.where(hit, np.log(np.maximum(others, 1)) - np.log(np.maximum(cu, 1)), miss) * n)
-                found.append(n * hit)
+                columns = _columns(near)
+                for pick in _by_key(columns[0], WEIGH_ROWS):
+                    key, who, *counts = (x[pick] for x in columns)
+                    n, cu, cv = (x.astype(np.int64) for x in counts)
+                    others = _grouped(key, n) - n
+                    hit = others > 0
+                    miss = log_alpha + single(cv, total - size[who])
+                    add(who, np.where(hit, np.log(np.maximum(others, 1)) - np.log(np.maximum(cu, 1)), miss) * n, n * hit)
+                del columns
             if cold:
-                key, who, n, a, b, ph, pl, role = (np.concatenate(x) for x in zip(*cold, strict=True))
-                rest = total - size[who]
-                is_word = role == WORD
-                # A word's own rows give its count to all rows of its key.
-                in_all = _grouped(key, np.where(is_word, n, 0))
-                with np.errstate(over="ignore"):
-                    pair = key * _MIX[0] ^ ((ph.astype(np.uint64) << np.uint64(32) | pl.astype(np.uint64)) + role.astype(np.uint64) * _MIX[2]) * _MIX[1]
-                others = _grouped(pair ^ (pair >> np.uint64(32)), n) - n
-                hit = (others > 0) & ~is_word
-                cu = np.where((role == FIRST) | (role == BOTH_FIRST), in_all - a, a)
-                cv = np.where((role == SECOND) | (role == BOTH_SECOND), in_all - b, b)
-                worth_hit = np.log(np.maximum(others, 1)) - np.log(np.maximum(cu, 1))
-                worth_miss = log_alpha + single(cv, rest)
-                value = np.where(hit, worth_hit, worth_miss) * n
-                value = np.where(role == BOTH_FIRST, np.where(hit, worth_hit * n, 0.0), value)
-                value = np.where(role == BOTH_SECOND, np.where(hit, 0.0, worth_miss * n), value)
-                value = np.where(is_word, np.where(a == 1, single(in_all - n, rest), 0.0), value)
-                whos.append(who)
-                values.append(value)
-                found.append(n * (hit & (role != BOTH_SECOND)))
-            who, value, hits = np.concatenate(whos), np.concatenate(values), np.concatenate(found)
-            rows, inverse = np.unique(rowkey, return_inverse=True)
-            part = np.bincount(inverse[who], value, len(rows))
-            hits = np.bincount(inverse[who], hits, len(rows)).astype(np.int64)
+                columns = _columns(cold)
+                for pick in _by_key(columns[0], WEIGH_ROWS):
+                    key, who, *counts, partner, role = (x[pick] for x in columns)
+                    n, a, b = (x.astype(np.int64) for x in counts)
+                    rest = total - size[who]
+                    is_word = role == WORD
+                    # A word's own rows give its count to all rows of its key.
+                    in_all = _grouped(key, np.where(is_word, n, 0))
+                    with np.errstate(over="ignore"):
+                        pair = key * _MIX[0] ^ (partner + role.astype(np.uint64) * _MIX[2]) * _MIX[1]
+                    others = _grouped(pair ^ (pair >> np.uint64(32)), n) - n
+                    hit = (others > 0) & ~is_word
+                    cu = np.where((role == FIRST) | (role == BOTH_FIRST), in_all - a, a)
+                    cv = np.where((role == SECOND) | (role == BOTH_SECOND), in_all - b, b)
+                    worth_hit = np.log(np.maximum(others, 1)) - np.log(np.maximum(cu, 1))
+                    worth_miss = log_alpha + single(cv, rest)
+                    value = np.where(hit, worth_hit, worth_miss) * n
+                    value = np.where(role == BOTH_FIRST, np.where(hit, worth_hit * n, 0.0), value)
+                    value = np.where(role == BOTH_SECOND, np.where(hit, 0.0, worth_miss * n), value)
+                    value = np.where(is_word, np.where(a == 1, single(in_all - n, rest), 0.0), value)
+                    add(who, value, n * (hit & (role != BOTH_SECOND)))
+                del columns
             home = rows % buckets
             by = np.argsort(home, kind="stable")
             edges = np.searchsorted(home[by], np.arange(buckets + 1))

@@ -111,6 +111,27 @@ def test_backoff_forms_agree(spark, monkeypatch):
     assert backoff.backoff_scores(docs.limit(0)).collect() == []
 
 
+def test_backoff_buckets_are_weighed_in_pieces(spark, monkeypatch):
+    rnd = np.random.RandomState(6)
+    for most in (1, 7, 100, 5000):
+        key = rnd.randint(0, 90, 1000).astype(np.uint64)
+        pieces = list(backoff._by_key(key, most))
+        assert sorted(np.concatenate(pieces).tolist()) == list(range(1000))
+        assert sum(len(np.unique(key[p])) for p in pieces) == len(np.unique(key))  # no key in two pieces
+        assert max(map(len, pieces)) < most + np.bincount(key.astype(int)).max()
+    words = random.Random(7)
+    docs = spark.createDataFrame([(i, text_of(words, words.randrange(60))) for i in range(60)], "doc_id long, text string")
+    rows = lambda df: sorted((r["doc_id"], r["n_words"], round(r["score"] or 0, 9), r["n_pairs"]) for r in df.collect())
+    # The pass that counts hot n-grams returns a row for each part, however many n-grams it met.
+    table = np.sort(np.array([backoff._Hash()[w] for w in {w for r in docs.collect() for w in backoff.words_of(r["text"])}], np.uint64))
+    word_n, _, total = backoff._counted(docs, (table, np.empty(0, np.int64)))
+    counts = Counter(w for r in docs.collect() for w in backoff.words_of(r["text"]))
+    assert total == sum(counts.values()) and sorted(word_n.tolist()) == sorted(counts.values()) and backoff.COUNT_PARTS < len(counts)
+    whole = rows(backoff.backoff_scores(docs, hot=5))
+    monkeypatch.setattr(backoff, "WEIGH_ROWS", 3)
+    assert rows(backoff.backoff_scores(docs, hot=5, bucket_rows=500)) == whole
+
+
 # ---------------------------------------------------------------------------------- 5 and 9: dealing
 
 
