@@ -91,6 +91,30 @@ def test_similar_pairs_in_many_blocks(spark, monkeypatch):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_triangles_on_bits_in_many_colours(spark):
+    import numpy as np
+
+    from docuweave.operators import triangles as B
+
+    rng = np.random.RandomState(3)
+    ids = np.unique(np.concatenate([rng.randint(-(2**62), 2**62, 50), np.arange(30)]))
+    drawn = [(int(ids[a]), int(ids[b])) for a, b in rng.randint(0, len(ids), (900, 2))]  # with loops, copies and both directions
+    near = {int(x): set() for x in ids}
+    for a, b in drawn:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {x: (len(s), sum(len(near[y] & s) for y in s) // 2) for x, s in near.items() if s}
+    edges = spark.createDataFrame(drawn, "src long, dst long")
+    for colours in (1, 2, 3, 6):
+        assert {r["id"]: (r["k"], r["t"]) for r in B.triangles(edges, colours).collect()} == want
+    joined = {r["id"]: (r["k"], r["t"] or 0) for r in G._triangles_joined(edges).collect()}
+    assert joined == want
+    assert B.triangles(edges.limit(0), 2).collect() == []
+    a = [np.array([5, -(2**63), 2**63 - 1]), np.empty(0, np.int64)]
+    assert [x.tolist() for x in B.unpack(B.pack(*a))] == [x.tolist() for x in a]
+
+
 def test_min_max_of_a_constant(spark):
     df = spark.createDataFrame([(1, 4.0), (2, 4.0)], "id long, x double")
     assert {r["x"] for r in G.min_max(df, ["x"]).collect()} == {0.5}
