@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import sys
 from collections.abc import Iterator
 
@@ -11,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_relation
-from .graph import keep_known, merge_edges, merge_nodes
+from .graph import cut, keep_known, merge_edges, merge_nodes
 
 # Functions go to executors by value, so these need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Most subsequences that are listed for a short name.
+VARIANTS = 500
+
 
 def dedupe_entities(mentions: DataFrame) -> DataFrame:
     """(doc, name, ord, ...): the first of each document's mentions whose names differ in case alone."""
@@ -84,14 +89,55 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
+def _cuts(length: int, threshold: int) -> int:
+    """How many signs a name of this length may lack from a common subsequence that reaches the threshold with any other name."""
+    c = (threshold - 0.5) / 200
+    return int(length * (1 - c / (1 - c)) + 1e-9)
+
+
+def short_length(threshold: int) -> int:
+    """The longest names whose subsequences are listed, all of them up to ``VARIANTS``."""
+    n = 0
+    while n < 64 and sum(math.comb(n + 1, k) for k in range(_cuts(n + 1, threshold) + 1)) <= VARIANTS:
+        n += 1
+    return n
+
+
+def variants(name: Column, threshold: int) -> Column:
+    """A short name's subsequences that are long enough to reach the threshold, itself included."""
+
+    @F.pandas_udf("array<string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            yield pd.Series([list({"".join(v) for k in range(_cuts(len(t), threshold) + 1) for v in itertools.combinations(t, len(t) - k)}) for t in x])
+
+    return run(name)
+
+
 def resolve_fuzzy(names: DataFrame, existing: DataFrame, threshold: int = 85) -> DataFrame:
     """(name, canonical, ratio) of (name, type) against (name, type, ord): the best ratio of a type, the first of equals.
 
-    Names meet only those of their type whose length allows the threshold.
+    Short names meet where they share a subsequence that is long enough for the threshold, and the longest of these gives the
+    ratio, so that no other pairs are made.  Pairs with a long name are those of a type whose lengths allow the threshold.
     """
-    e = existing.select(F.col("name").alias("canonical"), "type", "ord")
-    n = names.select("name", "type").distinct()
-    fits = 200 * F.least(F.length("name"), F.length("canonical")) >= (threshold - 0.5) * (F.length("name") + F.length("canonical"))
-    pairs = n.join(e, "type").where(fits).withColumn("ratio", fuzzy_ratio(F.lower("name"), F.lower("canonical"))).where(F.col("ratio") >= threshold)
-    best = pairs.groupBy("name", "type").agg(F.max_by(F.struct("canonical", "ratio"), F.struct("ratio", -F.col("ord"))).alias("b"))
+    lower = F.lower("name")
+    e = cut(existing.select(F.col("name").alias("canonical"), "type", "ord", lower.alias("c")).where("c is not null"))
+    n = cut(names.select("name", "type").distinct())
+    own = n.select("name", "type", lower.alias("n")).where("n is not null")
+    short = short_length(threshold)
+    both = F.length("n") + F.length("c")
+    fits = lambda common: 200 * common >= (threshold - 0.5) * both
+    v = lambda df, c: df.where(F.length(c) <= short).withColumn("v", F.explode(variants(F.col(c), threshold)))
+    shared = v(own, "n").join(v(e, "c"), ["type", "v"]).where(fits(F.length("v")))
+    ratio = F.when(both == 0, 100).otherwise(F.bround(200.0 * F.length("v") / both)).cast("int")
+    near = shared.select("name", "type", "canonical", "ord", ratio.alias("ratio"))
+    kept = ["name", "type", "canonical", "ord"]
+    ends = (threshold - 0.5) / (200.5 - threshold)  # the least share that one name's length has of the other's
+    either = [(own.where(F.length("n") > short), e), (own.where(F.length("n") <= short), e.where(F.length("c") > short))]
+    for x, y in either:
+        # By each length that fits, so that a type's names meet in many tasks.
+        by = y.withColumn("l", F.explode(F.sequence(F.floor(F.length("c") * ends).cast("int"), F.ceil(F.length("c") / ends).cast("int"))))
+        pairs = x.withColumn("l", F.length("n")).join(by, ["type", "l"]).where(fits(F.least(F.length("n"), F.length("c"))))
+        near = near.unionByName(pairs.select(*kept, fuzzy_ratio(F.col("n"), F.col("c")).alias("ratio")))
+    best = near.where(F.col("ratio") >= threshold).groupBy("name", "type").agg(F.max_by(F.struct("canonical", "ratio"), F.struct("ratio", -F.col("ord"))).alias("b"))
     return n.join(best, ["name", "type"], "left").select("name", F.coalesce("b.canonical", "name").alias("canonical"), "b.ratio")

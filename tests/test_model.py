@@ -1,6 +1,7 @@
 """Build, enhancement, communities, plug-ins and files on small fixtures, with nulls, empty tables and single members."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -78,6 +79,32 @@ def test_fuzzy_ratio_and_embedder(spark):
         assert r["v"] == pytest.approx(brute(t))
 
 
+def test_fuzzy_resolution_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aabBc") for _ in range(rng.choice([1, 4, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 20, 30])))
+    known = [(word(), rng.choice("xy"), i) for i in range(60)] + [("", "x", 60)]
+    edit = lambda w: "".join(rng.choice(["", c + c, c.upper(), c, c, c, c, c, c]) for c in w)
+    names = [(edit(rng.choice(known)[0]), rng.choice("xy")) for _ in range(150)] + [(word(), "x") for _ in range(30)] + [("", "x"), (None, "x")]
+
+    def want(name, kind, threshold):
+        found = []
+        for other, t, at in known:
+            a, b = (name or "").lower(), other.lower()
+            r = round(200 * B._lcs(a, b) / (len(a) + len(b))) if a or b else 100
+            if name is not None and t == kind and r >= threshold:
+                found.append((-r, at, other))
+        return (min(found)[2], -min(found)[0]) if found else (name, None)
+
+    made = []
+    monkeypatch.setattr(B, "fuzzy_ratio", lambda a, b, f=B.fuzzy_ratio: made.append(1) or f(a, b))
+    ours, theirs = spark.createDataFrame(names, "name string, type string"), spark.createDataFrame(known, "name string, type string, ord long")
+    for threshold in (85, 93):
+        got = [tuple(r) for r in B.resolve_fuzzy(ours, theirs, threshold).collect()]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(got, key=key) == sorted(((n, *want(n, t, threshold)) for n, t in set(names)), key=key)
+    assert B.short_length(85) == 14 and sum(w == 1 for w in made) == 4  # only pairs with a long name are compared sign by sign
+
+
 def test_replies(spark):
     reply = "a:1, b:c:2, none, c:x, d:-1"
     row = spark.createDataFrame([(reply, "Uses|0.9\nodd|\nextends")], "a string, b string").select(T.name_numbers(F.col("a")).alias("n"), T.type_lines(F.col("b")).alias("t")).first()
