@@ -48,6 +48,24 @@ def test_betweenness(spark):
     assert got == pytest.approx(want)
 
 
+def test_betweenness_of_a_held_graph_equals_the_joins(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(C.held, "PACK", 40)
+    monkeypatch.setattr(C.held, "SORTED", 30)
+    chain = [(1000 + i, 1001 + i) for i in range(20)]
+    for spread in (1, 10**15):  # ids side by side, and far apart
+        rows = [(rng.randrange(60) * spread, rng.randrange(60) * spread) for _ in range(220)] + chain
+        rows += rows[:30] + [(7 * spread, 7 * spread)]
+        nodes = spark.createDataFrame([(x,) for x in sorted({v for e in rows for v in e} | {-5})], "id long")
+        edges = spark.createDataFrame(rows, "src long, dst long")
+        for sources in (None, nodes.where("id % 3 = 0")):
+            got = {r["id"]: r["betweenness"] for r in C.betweenness(nodes, edges, sources).collect()}
+            want = {r["id"]: r["betweenness"] for r in C.betweenness_joined(nodes, edges, sources).collect()}
+            assert got == pytest.approx(want) and max(want.values()) > 0
+    none = C.betweenness(nodes, edges.limit(0)).collect()
+    assert {r["betweenness"] for r in none} == {0.0}
+
+
 def test_eigenvector_of_a_star(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
     edges = spark.createDataFrame([(0, i) for i in range(1, 5)], "src long, dst long")
