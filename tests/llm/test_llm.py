@@ -527,3 +527,34 @@ def test_style_tree_against_a_plain_loop(spark):
         raw = (1 - w) * min(max(style, 0), 1) + w * min(max(content, 0), 1)
         assert got[path, None] == pytest.approx(0.5 + (raw - 0.5) * (1 - 1 / m))
     assert styletree.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_decontamination_recall_against_brute_force(spark):
+    """The index is fitted on a sample; what it finds is held against every window of every document."""
+    rnd = random.Random(17)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 8))) for _ in range(600)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = [(i, some(rnd.randrange(10, 60))) for i in range(20)]
+    rows = []
+    for d in range(80):
+        text = some(rnd.randrange(20, 200))
+        if d % 2:
+            part = [rnd.choice(words) if rnd.random() < 0.2 else w for w in rnd.choice(items)[1]]
+            at = rnd.randrange(len(text))
+            text = text[:at] + part + text[at:]
+        rows.append((d, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, bench).collect()}
+    sets = [set(latent.tokens(t)) for _, t in rows]
+    idf = lambda w: (np.log((len(rows) + 1) / (sum(w in s for s in sets) + 1)) + 0.05) ** latent.POWER
+    weight = {w.encode(): idf(w.encode()) for _, ws in items for w in ws}
+    want = set()
+    for d, text in rows:
+        own = latent.tokens(text)
+        for i, ws in items:
+            for part in latent.passages([w.encode() for w in ws]):
+                width, slack = latent.width_of(len(part)), max(len(part), latent.STEP)
+                if any(latent.confirmed(part, own[max(0, at - slack) : at + width + slack], weight.__getitem__) for at in range(0, len(own), 16 if width > 16 else 8)):
+                    want.add((d, i))
+    assert len(want) >= 35 and got <= want and len(got & want) >= 0.9 * len(want)
