@@ -230,7 +230,7 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are linked, by the exact intersection of their sets."""
     info = heads.select("cls", "rkey")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(info, "cls").select("rkey")
-    sets = written(_sets(docs, wanted))
+    sets = written(_sets(docs, wanted), few=True)
     x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(x, "a").join(y, "b").where(_linked("sa", "sb")).select("a", "b").distinct()
@@ -397,26 +397,26 @@ def _settled(extra: DataFrame, near: DataFrame, first: DataFrame, heads: DataFra
     for k in range(AGAIN + 1):
         end = lambda c, roots=roots: roots.select(F.col("node").alias(c), F.col("root").alias(f"c{c}"))
         placed = left.join(end("a"), "a", "left").join(end("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-        apart = written(placed.where("ca <> cb"))
+        apart = written(placed.where("ca <> cb"), few=True)
         if apart.isEmpty():
             break
         left = apart.select("a", "b")
         pick = left
         if k < AGAIN:
             two = apart.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
-            pick = written(two.agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))).alias("p")).select("p.a", "p.b"))
-        links = written(links.unionByName(_verified(pick, heads, docs)))
-        roots = written(components(links))
+            pick = written(two.agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))).alias("p")).select("p.a", "p.b"), few=True)
+        links = written(links.unionByName(_verified(pick, heads, docs)), few=True)
+        roots = written(components(links), few=True)
     return roots
 
 
 def _candidates(placed: DataFrame, flat: DataFrame, heads: DataFrame, hot: np.ndarray) -> DataFrame:
     """(a, b), written: all pairs of classes of different ``comp`` that the prefixes, sizes and bit counts allow."""
     total = flat.agg(F.coalesce(F.sum(F.size(F.coalesce("prefix", F.array().cast("array<long>")))), F.lit(0)).alias("t")).first()["t"]
-    undecided = written(_undecided(placed, max(12, int(total // 1_000_000)), hot))
+    undecided = written(_undecided(placed, max(12, int(total // 1_000_000)), hot), few=True)
     count = undecided.count()
     sweep(placed.sparkSession)
-    return written(_compare(_tiles(undecided, count), heads, max(12, count // 20_000)))
+    return written(_compare(_tiles(undecided, count), heads, max(12, count // 20_000)), few=True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -429,11 +429,11 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     heavy, level = _frequent(docs)
     flat = written(_sketches(docs, heavy, level))
     known = flat.where("cls is not null")
-    classes = written(known.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.min("rkey").alias("rkey"), F.count(F.lit(1)).alias("copies")))
+    classes = written(known.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.min("rkey").alias("rkey"), F.count(F.lit(1)).alias("copies")), few=True)
     copied = classes.where("copies > 1")
     # Of copies one row goes on: rows that are alone in their class need no look.
     spare = known.select("cls", "rkey").join(copied.select("cls", F.col("rkey").alias("head")), "cls").where("rkey <> head").select("rkey").distinct()
-    spare = written(spare)
+    spare = written(spare, few=True)
     if small(spare, MAX_BROADCAST):
         spare = F.broadcast(spare)
     heads = known.join(spare, "rkey", "left_anti")
@@ -446,21 +446,21 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (rkey, doc_id, n, cls) and classes (cls, root, first_doc, rkey, copies); both written tables."""
     docs, flat, classes, heads, hot = _prepared(docs)
-    near = written(_verified(written(_likely(heads)), heads, docs))
+    near = written(_verified(written(_likely(heads), few=True), heads, docs), few=True)
     sweep(docs.sparkSession)
     for k in range(AGAIN + 1):
-        first = written(components(near))
+        first = written(components(near), few=True)
         spread = F.broadcast(first) if small(first, MAX_BROADCAST) else first
         placed = heads.join(spread.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
         if k < AGAIN:
-            more = written(_verified(written(_between(placed)), heads, docs))
+            more = written(_verified(written(_between(placed), few=True), heads, docs), few=True)
             if more.isEmpty():
                 break
-            near = written(near.unionByName(more))
+            near = written(near.unionByName(more), few=True)
     extra = _candidates(placed, flat, heads, hot)
     final = _settled(extra, near, first, heads, docs)
     ids = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return flat, written(ids.select("cls", "root", "first_doc", "rkey", "copies"))
+    return flat, written(ids.select("cls", "root", "first_doc", "rkey", "copies"), few=True)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -485,7 +485,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs, flat, classes, heads, hot = _prepared(docs)
     pairs = _candidates(heads.withColumn("comp", F.col("cls")), flat, heads, hot)
-    links = written(_verified(pairs, heads, docs))
+    links = written(_verified(pairs, heads, docs), few=True)
     members = flat.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(classes.select("cls", "copies"), "cls", "left")
     return links, members.select("cls", "doc_id", "n_shingles", F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
@@ -509,7 +509,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rkey")
     placed = flat.where("cls is not null").join(ids.select("cls", "root"), "cls").select("rkey", "doc_id", "root")
     heads = placed.groupBy("root").agg(F.min(order).alias("head")).select(F.col("head.rkey").alias("rkey"))
-    gone = written(placed.select("rkey").distinct().join(heads, "rkey", "left_anti"))
+    gone = written(placed.select("rkey").distinct().join(heads, "rkey", "left_anti"), few=True)
     key = "__docuweave_rkey"
     keyed = docs.withColumn(key, row_key())
     few = F.broadcast(gone) if small(gone, MAX_BROADCAST) else gone

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docuweave.llm import backoff, jaccard, latent, matroska, packing, quality, sharding, styletree, toxicity, urls
+from docuweave.llm import backoff, common, jaccard, latent, matroska, packing, quality, sharding, styletree, toxicity, urls
 
 ODD = [(1, None), (2, ""), (3, "  \n "), (4, "one two"), (4, "one two"), (None, "one two"), (5, "a b c d e f g h"), (6, "A b C d e f g h"), (7, "x" * 200_000), (8, "w " * 30_000)]
 
@@ -360,6 +360,21 @@ def test_pipeline_stages(spark):
 # --------------------------------------------------------------------------------- shared helpers
 
 
+def test_few_rows_make_few_files(spark):
+    """Where Spark may not coalesce partitions, small tables don't become a file a partition."""
+    key = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "97"}
+    before = {k: spark.conf.get(k) for k in key}
+    for k, v in key.items():
+        spark.conf.set(k, v)
+    try:
+        out = common.written(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count(), few=True)
+        assert len(out.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism and out.agg(F.count("k"), F.sum("count")).first()[:] == (1000, 5000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+
 def test_components_and_their_mark(spark, monkeypatch):
     from docuweave.llm import components as comp
 
