@@ -357,6 +357,64 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == sizes[-1]
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """Rows far beyond one lot, repeated ids and very long texts: what only these show is learnt."""
+    monkeypatch.setattr(quality, "LOT", 32)
+    rnd = random.Random(5)
+    rows = [(i, text_of(rnd, 60, 300) + (" you vile oaf" if i % 4 == 1 else "")) for i in range(400)]
+    rows += [(400 + i, text_of(rnd, 14_000, 3000) + (" grim lout" if i % 2 else "")) for i in range(40)]
+    marks = [(i, int(i % 3 > 0), int(i % 4 == 1 if i < 400 else i % 2)) for i, _ in rows]
+    rows = [(i, t if q else " ".join(w.upper() + "!!" for w in t.split())) for (i, t), (_, q, _) in zip(rows, marks, strict=True)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+    labels = spark.createDataFrame([*marks, (None, 1, 1)], "doc_id long, quality int, toxic int")
+    taught = quality.labelled(docs, labels, "toxic")
+    assert {r["doc_id"] for r in taught.collect()} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert quality.class_counts(taught) == tuple(sum(x == k and zlib.crc32(str(i).encode()) % 5 > 0 for i, _, x in marks) for k in (0, 1))
+    assert taught.agg(F.max("lot")).first()[0] > 5
+    good = {r["doc_id"]: r["p"] for r in quality.with_quality(docs, quality.train(docs, labels), "p").collect()}
+    assert np.mean([(good[i] >= 0.3) == q for i, q, _ in marks]) > 0.95
+    model = toxicity.train(docs, labels)
+    assert {"vile", "oaf", "grim", "lout"} & set(model["index"]) >= {"grim", "lout"}
+    rude = {r["doc_id"] for r in toxicity.with_toxicity(docs, model, "c").collect() if r["c"][model["names"][-1]] >= model["threshold"]}
+    assert len(rude ^ {i for i, _, x in marks if x}) <= 6
+
+
+def test_chain_is_the_same_on_dealt_rows(spark, monkeypatch):
+    """One lot in tasks equals the fit in memory; many lots come to the same features."""
+    rnd = random.Random(6)
+    rows = [(i, text_of(rnd, 40, 200) + (" vile oaf" if i % 3 == 0 else " grim lout" if i % 7 == 1 else "")) for i in range(300)]
+    marks = [(i, int(i % 3 == 0 or i % 7 == 1)) for i, _ in rows]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    kept = [(i, t, y) for (i, t), (_, y) in zip(rows, marks, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    plain = toxicity.fit(kept, "toxic", quality.class_shares(labels, "toxic"))
+    got = toxicity.train(docs, labels)
+    assert got["names"] == plain["names"] and got["index"] == plain["index"] and got["threshold"] == plain["threshold"]
+    for a, b in zip(got["links"], plain["links"], strict=True):
+        assert a["words"] == pytest.approx(b["words"]) and a["bias"] == pytest.approx(b["bias"])
+    monkeypatch.setattr(quality, "LOT", 32)
+    many = toxicity.train(docs, labels)
+    assert many["names"] == plain["names"] and {"vile", "oaf", "grim", "lout"} <= set(many["index"])
+
+
+def test_link_fits_reach_the_optimum():
+    rnd = np.random.RandomState(3)
+    packs = toxicity.Held([p for k in range(3) for p in toxicity._packed(iter([(" ".join(f"{'abcdefgh'[j]}x" for j in np.flatnonzero(rnd.rand(8) < 0.4)), int(rnd.rand() < 0.3)) for _ in range(50)]), {f"{c}x": i for i, c in enumerate("abcdefgh")})])
+    x = toxicity._fit_link(packs, lambda p: p.y, (1.0, 2.0), 8, 0)[-1]
+
+    def loss(theta):
+        def f(p):
+            s = toxicity._scores(theta, p, 8)
+            w = np.where(p.y == 1, 2.0, 1.0)
+            return np.array([w @ (np.logaddexp(0, s) - p.y * s), w.sum()])
+
+        a, b = packs.total(f)
+        return a / b + toxicity.L1 * np.abs(theta[:-1]).sum()
+
+    best = loss(x)
+    assert best < loss(np.zeros(9))
+    assert all(loss(x + 0.3 * np.eye(9)[i] * d) > best - 1e-3 for i in range(9) for d in (-1, 1))
+
+
 # --------------------------------------------------------------------------------- shared helpers
 
 
