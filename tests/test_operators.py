@@ -8,6 +8,8 @@ import pytest
 from docuweave.operators import centrality as C
 from docuweave.operators import retrieval as R
 from docuweave.operators import topics as P
+from docuweave.plans import model as M
+from docuweave.plans import queries as Q
 from docuweave.sources import graphs as S
 
 
@@ -66,6 +68,24 @@ def test_betweenness_of_a_held_graph_equals_the_joins(spark, monkeypatch):
     assert {r["betweenness"] for r in none} == {0.0}
 
 
+def test_betweenness_query_starts_from_all_nodes_and_shuffles_no_links(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.choice([-1, 0, 1])) for _ in range(6)], i % 3) for i in range(70)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {r["id"]: r["betweenness"] for r in C.betweenness_joined(Q.nodes_emb(spark, str(tmp_path)), Q.pairs_emb(spark, str(tmp_path))).collect()}
+    assert sum(x > 0 for x in want.values()) > 20
+    plans = []
+    deal = C.held.deal
+    monkeypatch.setattr(C.held, "deal", lambda *a: plans.append(deal(*a)) or plans[-1])
+    for single, row in ((20, 3000), (10**9, 0), (1, 10**9)):  # as it costs, whole rows, single links
+        monkeypatch.setattr(C.held, "LINK", single)
+        monkeypatch.setattr(C.held, "ROW", row)
+        got = {r["id"]: r["betweenness"] for r in M.betweenness_centrality(spark, str(tmp_path)).collect()}
+        assert got == pytest.approx(want, abs=1e-8)
+    assert all(p.rdd.getNumPartitions() >= 4 for p in plans)  # a task for each core
+    assert len(plans) == 3 and all("Exchange" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
 def test_eigenvector_of_a_star(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
     edges = spark.createDataFrame([(0, i) for i in range(1, 5)], "src long, dst long")
