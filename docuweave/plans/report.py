@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import held
 from ..operators import retrieval as R
 from ..operators import views as W
 from .model import SQL_CENTROIDS, centroids
-from .queries import SQL_EDGES, TYPES, edges_emb, nodes_weighed, query, read, vectors
+from .queries import SQL_EDGES, TYPES, edges_emb, nodes_weighed, pairs_emb, query, read, vectors
 
 BEAM, LEAST = 2, 0.05
 
@@ -205,7 +206,7 @@ def traversal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph retrieval with its context; the parts have their own tests."""
     v, asked = vectors(spark, sf_dir), _asked(spark, sf_dir)
-    edges = edges_emb(spark, sf_dir).select("src", "dst", F.lit("related_to").alias("relation"), (F.col("src") * 1000000 + F.col("dst")).alias("ord"))
+    edges = held.kept(pairs_emb(spark, sf_dir)).select("src", "dst", F.lit("related_to").alias("relation"), (F.col("src") * 1000000 + F.col("dst")).alias("ord"))
     known = v.select("id", "vector", F.lit(0.5).alias("importance"), F.lit(0.001).alias("pagerank"), F.concat(F.lit("node of label "), F.col("label").cast("string")).alias("description"))
     return R.answer_context(R.graph_retrieve(asked, v, edges, known))
 

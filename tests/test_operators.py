@@ -140,6 +140,29 @@ def test_chains_list_relations_of_the_best_entities_only(spark, monkeypatch):
     assert R.answer_context(found).count() == 4
 
 
+def test_chains_of_a_held_graph_equal_those_of_the_whole_expansion(spark, monkeypatch):
+    rng = random.Random(12)
+    pick = lambda: rng.choice([0, 1, 2, rng.randrange(50)])  # noqa: E731  # three nodes of many edges
+    rows = [(pick(), pick(), rng.choice(["uses", "has", None]), i) for i in range(240)]
+    rng.shuffle(rows)
+    edges = spark.createDataFrame(rows, "src long, dst long, relation string, ord long")
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(3)], None, None, None) for i in range(50)]
+    nodes = spark.createDataFrame(vectors, "id long, vector array<double>, importance double, pagerank double, description string")
+    queries = spark.createDataFrame([(q, vectors[q][1]) for q in range(6)], "id long, vector array<double>")
+    whole, ways = R.expand, []
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(R, "expand", lambda *a, **k: ways.append(k) or whole(*a, **k))
+    for first, hops in ((1, 2), (2, 1), (8, 3)):
+        monkeypatch.setattr(R, "FIRST", first)
+        ways.clear()
+        found = R.graph_retrieve(queries, nodes, edges, nodes, hops)
+        assert len(ways) == 1 and "keep" in ways[0]  # nothing is expanded as a whole, but for who reads all relations
+        reached = whole(found["seeds"], edges, hops)
+        want = rows(R.chains_of(found["entities"], R.neighbour_relations(reached, edges)))
+        assert rows(found["chains"]) == want and len(want) > 40
+    assert rows(found["relations"]) == rows(R.neighbour_relations(reached, edges))
+
+
 def test_tree_and_its_retrieval(spark):
     vectors = [[1.0, 0.02 * i] if i < 4 else [0.02 * i, 1.0] for i in range(8)]
     topics = spark.createDataFrame([(f"t{i}", f"name {i}", v, 2) for i, v in enumerate(vectors)], "id string, name string, vector array<double>, size long")
