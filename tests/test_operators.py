@@ -163,6 +163,20 @@ def test_chains_of_a_held_graph_equal_those_of_the_whole_expansion(spark, monkey
     assert rows(found["relations"]) == rows(R.neighbour_relations(reached, edges))
 
 
+def test_steps_are_joined_to_sieved_edges_of_a_packed_checkpoint(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    all_ = {(r["src"], r["dst"]) for r in Q.pairs_emb(spark, str(tmp_path)).collect()}
+    assert {tuple(r) for r in R.held.kept(Q.pairs_emb(spark, str(tmp_path))).collect()} == all_
+    sieved, sieve = [], R.held.sieve
+    monkeypatch.setattr(R.held, "sieve", lambda *a: sieved.append((sieve(*a), a[1])) or sieved[-1][0])
+    monkeypatch.setattr(Q, "edges_emb", None)  # no edges as rows on the disk
+    assert Q.QUERIES["retrieve_graph"](spark, str(tmp_path)).count() == 20 * 15
+    kept, wanted = ({(r["_x"], r["_y"]) for r in df.collect()} for df in sieved[0])
+    assert wanted <= kept <= all_ and len(kept) < len(wanted) + 0.2 * len(all_ - wanted) and len(wanted) < len(all_)
+
+
 def test_tree_and_its_retrieval(spark):
     vectors = [[1.0, 0.02 * i] if i < 4 else [0.02 * i, 1.0] for i in range(8)]
     topics = spark.createDataFrame([(f"t{i}", f"name {i}", v, 2) for i, v in enumerate(vectors)], "id string, name string, vector array<double>, size long")
